@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import bpe, langid, line_dedup, mixing, near_dedup, sharding, token_counts
+from glyphmill.llm import bpe, embedding_dedup, langid, line_dedup, mixing, near_dedup, sharding, token_counts
 
 
 SHARDS, APPENDED = 256, 32
@@ -29,6 +29,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), keep=["doc_id"], verify=True)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), ["doc_id"], SHARDS, appended=APPENDED)
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
@@ -67,6 +72,17 @@ _JUMP = """
   )"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings
+  ), near AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+    WHERE list_sum(list_transform(list_zip(a.embedding, b.embedding), p -> p[1]::DOUBLE * p[2]::DOUBLE)) >= 0.95 * a.norm * b.norm
+  ), reach(vec_id, other) AS (
+    SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, n.b FROM reach r JOIN near n ON n.a = r.other
+  )
+SELECT vec_id, min(other) AS group_id, min(other) = vec_id AS kept FROM reach GROUP BY vec_id
+""",
     "op7_sharding": f"""
 WITH RECURSIVE keys AS (
     SELECT DISTINCT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 16))::UBIGINT::UHUGEINT AS key FROM documents
