@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import bpe, embedding_dedup, langid, line_dedup, mixing, near_dedup, sharding, token_counts
+from glyphmill.llm import bpe, embedding_dedup, langid, line_dedup, mixing, near_dedup, sharding, suffix_dedup, token_counts
 
 
 SHARDS, APPENDED = 256, 32
@@ -29,6 +29,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), keep=["doc_id"], verify=True)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
