@@ -5,8 +5,10 @@ all lines of all documents, hashed into a table of fixed size; ties by hash, so
 the order is total and the same everywhere).  Two lines can only reach the
 Jaccard threshold if they share a word among the first size - ceil(t * size) + 1
 of each (prefix filter), if their sizes agree (length filter) and if what is
-left after the shared word is enough (positional filter).  Candidates are
-verified on the whole sets.  A line goes if any earlier line, by doc_id and
+left after the shared words is enough (positional filter).  A parity map of each
+set, whose size follows the set's, bounds the overlap from above and drops most
+chance candidates too; none of the filters loses a match.  Candidates are verified on the whole
+sets.  A line goes if any earlier line, by doc_id and
 position, matches it, whether that one stays or not.
 
 Lines with the same set are found in the group of their rarest word and only
@@ -22,7 +24,7 @@ Defined results
   removed: blank lines, separators, one or two words repeat by chance.
 * Rows whose doc_id or text is null are returned as they are and take no part.
 * Rows that share a doc_id and differ in text are different documents, ordered
-  by a hash of the text; rows that agree in both have the same result.
+  by a 32-bit hash of the text; rows that agree in both have the same result.
 * A text that loses all its lines becomes the empty text; an empty text stays.
 * Further columns pass through untouched, whatever their names.
 * Empty table: no rows.
@@ -30,19 +32,18 @@ Defined results
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm import textnum
 from glyphmill.llm.common import Workspace
 
 U64 = np.uint64
-CELLS = 1 << 18  # of the hashed word counts: 2 MB, whatever the data
+CELLS = 1 << 20  # of the hashed word counts: 1 MB of classes, whatever the data
 PIECE = 1 << 10  # cells that travel in one row
 HASH_BITS = 44
 SLICE = 1 << 18
@@ -50,7 +51,8 @@ MAX_LINES = 4096  # 12 bits beside 8 of rarity and 44 of hash
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-LINE = ["doc", "text_hash", "line"]
+#: A line: its document, and the hash of the text above the line's number.
+LINE = ["doc", "at"]
 
 
 def fold(buf: np.ndarray) -> np.ndarray:
@@ -79,7 +81,7 @@ def line_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def ordered_sets(line: np.ndarray, h: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(line, word) without repeats, each line's words from rare to frequent; a word's value is its rank."""
-    word = (rarity[h >> U64(46)].astype(U64) << U64(HASH_BITS)) | (h & U64((1 << HASH_BITS) - 1))
+    word = (rarity[h >> U64(44)].astype(U64) << U64(HASH_BITS)) | (h & U64((1 << HASH_BITS) - 1))
     key = np.sort((line.astype(U64) << U64(HASH_BITS + 8)) | word)
     if len(key):
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
@@ -127,8 +129,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in textnum.slices(off, SLICE):
             low = fold(buf[off[lo] : off[hi]])
             s, e, _ = textnum.word_spans(low, off[lo : hi + 1] - off[lo])
-            counts += np.bincount((textnum.span_hashes(low, s, e) >> U64(46)).astype(np.int64), minlength=CELLS)
-    part = counts.reshape(-1, PIECE)
+            counts += np.bincount((textnum.span_hashes(low, s, e) >> U64(44)).astype(np.int64), minlength=CELLS)
+    part = np.minimum(counts, (1 << 31) - 1).astype(np.uint32).reshape(-1, PIECE)
     keep = np.flatnonzero(part.any(axis=1))
     yield pa.record_batch({"piece": pa.array(keep.astype(np.int32)), "counts": pa.array([part[i].tobytes() for i in keep], pa.binary())})
 
@@ -137,7 +139,7 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            c = np.frombuffer(c, dtype=np.int64)
+            c = np.frombuffer(c, dtype=np.uint32).astype(np.int64)
             total[i] = total[i] + c if i in total else c
     yield pa.record_batch({"piece": pa.array(list(total), pa.int32()), "counts": pa.array([c.tobytes() for c in total.values()], pa.binary())})
 
@@ -152,7 +154,29 @@ def word_rarity(base: DataFrame) -> np.ndarray:
     return rarity_classes(counts.reshape(-1))
 
 
-_POSTING = "word long, set_hash long, doc long, text_hash long, line int, size int, pos int"
+_POSTING = "word long, doc long, at long, meta long, parity long, wide binary"
+#: What leaves a word's group: kind 0 a line whose set came earlier, 1 a candidate pair, 2 a posting of a group with candidates.
+_SHARED = "kind byte, word long, doc long, at long, meta long, parity long, wide binary, y_doc long, y_at long"
+_TYPES = {
+    "kind": pa.int8(), "word": pa.int64(), "doc": pa.int64(), "at": pa.int64(), "meta": pa.int64(), "parity": pa.int64(),
+    "wide": pa.binary(), "y_doc": pa.int64(), "y_at": pa.int64(),
+}
+#: Sizes up to which 64 parity bits tell sets apart, and those for 128, 256, 512 and 1024 bits.
+NARROW, WIDE = 80, ((200, 16), (460, 32), (1000, 64), (1 << 62, 128))
+
+
+def _wide_parity(w: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[bytes | None]:
+    """Parity maps of the larger sets."""
+    out: list[bytes | None] = [None] * len(size)
+    for i in np.flatnonzero(size > NARROW):
+        bits = 8 * next(b for n, b in WIDE if size[i] <= n)
+        odd = np.bincount((w[first[i] : first[i] + size[i]] % U64(bits)).astype(np.int64), minlength=bits) & 1
+        out[i] = np.packbits(odd.astype(bool)).tobytes()
+    return out
+
+
+def _line_id(text_hash: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return (text_hash.astype(np.int64) << 32) | number.astype(np.int64)
 
 
 def _postings(shared, t: float, min_tokens: int):
@@ -168,15 +192,20 @@ def _postings(shared, t: float, min_tokens: int):
                     continue
                 w = textnum.mix(words + U64(0x632BE59BD9B4E019))
                 sums = np.concatenate([np.zeros(1, U64), np.cumsum(w)])
-                set_hash = textnum.mix(sums[first + size] - sums[first] + size.astype(U64)).view(np.int64)
+                set_hash = textnum.mix(sums[first + size] - sums[first] + size.astype(U64)) >> U64(48)
+                flips = np.append(U64(1) << (w >> U64(58)), U64(0))
+                parity = np.bitwise_xor.accumulate(np.concatenate([np.zeros(1, U64), flips]))
+                parity = (parity[first + size] ^ parity[first]).view(np.int64)
+                wide = pa.array(_wide_parity(w, first, size), pa.binary())
+                meta = ((set_hash << U64(48)) | (size.astype(U64) << U64(24))).view(np.int64)
                 prefix = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
                 at = np.repeat(np.arange(len(row)), prefix)
                 pos = np.arange(len(at)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
                 yield pa.record_batch(
                     {
-                        "word": words[first[at] + pos].view(np.int64), "set_hash": set_hash[at], "doc": docs[row[at]],
-                        "text_hash": hashes[row[at]], "line": number[at].astype(np.int32),
-                        "size": size[at].astype(np.int32), "pos": pos.astype(np.int32),
+                        "word": words[first[at] + pos].view(np.int64), "doc": docs[row[at]],
+                        "at": _line_id(hashes[row], number)[at], "meta": meta[at] | pos, "parity": parity[at],
+                        "wide": wide.take(pa.array(at)),
                     }
                 )
 
@@ -197,111 +226,149 @@ def _new(*cols: np.ndarray) -> np.ndarray:
     return out
 
 
-def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of words that several different sets share; and, with word null, lines whose set came earlier."""
-    t = _whole(batches)
-    if t is None:
-        return
-    word = t["word"].to_numpy()
-    order = np.argsort(word, kind="stable")
-    new = np.flatnonzero(_new(word[order]))
-    count = np.diff(np.append(new, len(order)))
-    t = t.take(pa.array(order[np.repeat(count > 1, count)]))
-    if not t.num_rows:
-        return
-    c = {n: t[n].to_numpy() for n in t.column_names}
-    order = np.lexsort((c["line"], c["text_hash"], c["doc"], c["set_hash"], c["word"]))
-    c = {n: v[order] for n, v in c.items()}
-    lead = _new(c["word"], c["set_hash"])
-    own = _new(*(c[n] for n in ("word", "set_hash", *LINE)))  # repeated rows have the same lines
-    again = ~lead & own & (c["pos"] == 0)
-    first = np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))
-    same = np.ones(len(lead), dtype=bool)
-    for n in LINE:
-        same &= c[n] == c[n][first]
-    again &= ~same
-    word_new = np.flatnonzero(_new(c["word"][lead]))
-    count = np.diff(np.append(word_new, int(lead.sum())))
-    keep = np.flatnonzero(lead)[np.repeat(count > 1, count)]
-    out = np.concatenate([keep, np.flatnonzero(again)])
-    null = np.concatenate([np.zeros(len(keep), bool), np.ones(int(again.sum()), bool)])
-    cols = {n: pa.array(v[out]) for n, v in c.items()}
-    cols["word"] = pa.array(c["word"][out], mask=null)
-    yield from pa.table(cols).select([x.split()[0] for x in _POSTING.split(", ")]).to_batches(max_chunksize=50000)
-
-
-_PAIR = ", ".join(f"{s}_{n} {k}" for s in "xy" for n, k in zip(LINE, ("long", "long", "int")))
-
-
-def _fits(size_x, pos_x, size_y, pos_y, t: float) -> np.ndarray:
-    """Length and positional filters for two postings of one word."""
-    left = 1 + np.minimum(size_x - pos_x - 1, size_y - pos_y - 1)
-    return (np.minimum(size_x, size_y) >= t * np.maximum(size_x, size_y) - 1e-9) & (left >= need(size_x, size_y, t))
-
-
-def _sorted_groups(t: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    c = {n: t[n].to_numpy(zero_copy_only=False) for n in t.column_names}
-    order = np.lexsort((c["line"], c["text_hash"], c["doc"], c["word"]))
-    c = {n: v[order] for n, v in c.items()}
-    start = np.flatnonzero(_new(c["word"]))
-    return c, np.repeat(start, np.diff(np.append(start, len(order))))
-
-
-def _pair_batch(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch({f"{s}_{n}": c[n][at] for s, at in (("x", x), ("y", y)) for n in LINE})
-
-
-def _first_pairs(t: float):
-    def run(batches):
+def _columns(t: pa.Table) -> tuple[dict[str, np.ndarray], list[bytes | None]]:
+    c = {n: t[n].to_numpy(zero_copy_only=False) for n in t.column_names if n != "wide"}
+    meta = c["meta"].view(U64)
+    c["size"] = ((meta >> U64(24)) & U64(0xFFFFFF)).astype(np.int64)
+    c["pos"] = (meta & U64(0xFFFFFF)).astype(np.int64)
+    c["set"] = meta >> U64(24)  # the set's hash and size
+    c["nth"] = np.arange(len(meta))  # the wide maps stay where they are
+    return c, t["wide"].to_pylist()
+
+
+def _fits(c: dict[str, np.ndarray], wide: list[bytes | None], x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
+    """Whether the sets of postings x and y pass the length and parity filters; the same in every word's group."""
+    sx, sy = c["size"][x], c["size"][y]
+    spare = sx + sy - 2 * need(sx, sy, t)  # words that may be in one set only
+    ok = (np.minimum(sx, sy) >= t * np.maximum(sx, sy) - 1e-9) & (
+        np.bitwise_count(c["parity"][x].view(U64) ^ c["parity"][y].view(U64)) <= spare
+    )
+    large = np.flatnonzero(ok & (sx > NARROW) & (sy > NARROW))
+    for i in large:
+        a, b = wide[c["nth"][x[i]]], wide[c["nth"][y[i]]]
+        if len(a) == len(b) and (int.from_bytes(a) ^ int.from_bytes(b)).bit_count() > spare[i]:
+            ok[i] = False
+    return ok
+
+
+def _sorted(c: dict[str, np.ndarray], by: list[str]) -> dict[str, np.ndarray]:
+    order = np.lexsort([c[n] for n in reversed(by)])
+    return {n: v[order] for n, v in c.items()}
+
+
+def _starts(c: dict[str, np.ndarray]) -> np.ndarray:
+    """The first row of each row's word."""
+    head = np.flatnonzero(_new(c["word"]))
+    return np.repeat(head, np.diff(np.append(head, len(c["word"]))))
+
+
+def _share(t: float):
+    """From the postings of whole words: repeated sets, first candidates, and the groups that have candidates."""
+
+    def rows(kind: int, n: int, **cols) -> pa.RecordBatch:
+        return pa.record_batch({**{m: pa.nulls(n, k) for m, k in _TYPES.items()}, "kind": pa.array(np.full(n, kind, np.int8)), **cols})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _whole(batches)
         if table is None:
             return
-        c, start = _sorted_groups(table)
-        x = np.flatnonzero(start < np.arange(len(start)))
-        y = start[x]
-        ok = _fits(c["size"][x], c["pos"][x], c["size"][y], c["pos"][y], t)
-        yield _pair_batch(c, x[ok], y[ok])
+        word = table["word"].to_numpy()
+        order = np.argsort(word, kind="stable")
+        start = np.flatnonzero(_new(word[order]))
+        count = np.diff(np.append(start, len(order)))
+        table = table.take(pa.array(order[np.repeat(count > 1, count)]))
+        if not table.num_rows:
+            return
+        c, wide = _columns(table)
+        c = _sorted(c, ["word", "set", "parity", *LINE])
+        lead = _new(c["word"], c["set"], c["parity"])
+        first = np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))
+        other = np.zeros(len(lead), dtype=bool)  # a repeated row has the same lines as its first
+        for n in LINE:
+            other |= c[n] != c[n][first]
+        again = np.flatnonzero(other & (c["pos"] == 0))
+        yield rows(0, len(again), **{n: pa.array(c[n][again]) for n in LINE})
+
+        c = _sorted({n: v[lead] for n, v in c.items()}, ["word", *LINE])
+        start = _starts(c)
+        x, y = _first_fits(c, wide, start, t)
+        yield rows(1, len(x), **{n: pa.array(c[n][x]) for n in LINE}, **{f"y_{n}": pa.array(c[n][y]) for n in LINE})
+        keep = np.flatnonzero(np.isin(start, np.unique(start[x])))
+        cols = {n: pa.array(c[n][keep]) for n in ("word", *LINE, "meta", "parity")}
+        cols["wide"] = pa.array([wide[i] for i in c["nth"][keep]], pa.binary())
+        yield from pa.Table.from_batches([rows(2, len(keep), **cols)]).to_batches(max_chunksize=50000)
 
     return run
 
 
+def _first_fits(c: dict[str, np.ndarray], wide: list, start: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each posting the earliest other line of its group that passes the filters."""
+    xs, ys = [], []
+    x = np.flatnonzero(start < np.arange(len(start)))
+    step = 0
+    while len(x):
+        y = start[x] + step
+        ok = _fits(c, wide, x, y, t)
+        xs.append(x[ok])
+        ys.append(y[ok])
+        step += 1
+        x = x[~ok]
+        x = x[start[x] + step < x]
+    return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+_PAIR = "x_doc long, x_at long, y_doc long, y_at long"
+_OTHER = _PAIR + ", x_pos int, y_pos int, x_size int, y_size int"
+
+
 def _other_pairs(t: float):
-    """Pairs of each line that has no match yet with every earlier line of its groups."""
+    """Pairs of each line that has no match yet with every earlier line of its groups, once for each word they share."""
 
     def run(batches):
         table = _whole(batches)
         if table is None:
             return
-        c, start = _sorted_groups(table)
+        c, wide = _columns(table)
+        c = _sorted(c, ["word", *LINE])
+        start = _starts(c)
         rows = np.flatnonzero(c["open"])
         many = rows - start[rows]
-        step = np.searchsorted(np.cumsum(many), np.arange(1 << 20, int(many.sum()) + (1 << 20), 1 << 20)) + 1
+        ends = np.cumsum(many)
         lo = 0
-        for hi in [*np.unique(np.minimum(step, len(rows))), len(rows)]:
+        while lo < len(rows):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), side="right")))
             r, m = rows[lo:hi], many[lo:hi]
             lo = hi
-            if not m.sum():
-                continue
             x = np.repeat(r, m)
             y = np.repeat(start[r], m) + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
-            ok = _fits(c["size"][x], c["pos"][x], c["size"][y], c["pos"][y], t)
-            yield from pa.Table.from_batches([_pair_batch(c, x[ok], y[ok])]).to_batches(max_chunksize=50000)
+            ok = _fits(c, wide, x, y, t)
+            x, y = x[ok], y[ok]
+            cols = {f"{s}_{n}": c[n][i] for s, i in (("x", x), ("y", y)) for n in LINE}
+            cols |= {f"{s}_{n}": c[n][i].astype(np.int32) for n in ("pos", "size") for s, i in (("x", x), ("y", y))}
+            yield from pa.table(cols).to_batches(max_chunksize=50000)
 
     return run
 
 
-def _line_bit(doc: np.ndarray, text_hash: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
-    key = doc.astype(U64) * U64(0x9E3779B97F4A7C15) ^ text_hash.astype(np.int64).view(U64)
-    return (textnum.mix(key + line.astype(U64) * U64(0xC2B2AE3D27D4EB4F)) >> U64(64 - bits)).astype(np.int64)
+def _enough(pairs: DataFrame, t: float) -> DataFrame:
+    """The positional filter over all prefix words that a pair shares: those, and what can follow the last of them."""
+    best = pairs.groupBy(*_names(_PAIR)).agg(
+        F.count("*").alias("n"), F.max("x_pos").alias("px"), F.max("y_pos").alias("py"), F.first("x_size").alias("sx"), F.first("y_size").alias("sy")
+    )
+    return best.where(F.expr(f"n + least(sx - px, sy - py) - 1 >= ceil({t / (1 + t)!r}D * (sx + sy) - 1e-9D)")).select(*_names(_PAIR))
+
+
+def _line_bit(doc: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    key = doc.astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15) ^ at.astype(np.int64).view(U64)
+    return (textnum.mix(key) >> U64(64 - bits)).astype(np.int64)
 
 
 def _mark(bits: int):
     def run(batches):
         seen = np.zeros(1 << bits, dtype=bool)
         for b in batches:
-            for s in range(0, 6, 3):
-                d, h, n = (b.column(s + i).to_numpy(zero_copy_only=False) for i in range(3))
-                seen[_line_bit(d, h, n, bits)] = True
+            for s in range(0, b.num_columns, 2):
+                seen[_line_bit(b.column(s).to_numpy(), b.column(s + 1).to_numpy(), bits)] = True
         part = np.packbits(seen).reshape(-1, PIECE)
         keep = np.flatnonzero(part.any(axis=1))
         yield pa.record_batch({"piece": pa.array(keep.astype(np.int32)), "bits": pa.array([part[i].tobytes() for i in keep], pa.binary())})
@@ -319,7 +386,7 @@ def _or_bits(batches):
 
 
 def _wanted(pairs: DataFrame, bits: int):
-    """A bit table of the lines in `pairs`, of a size that doesn't depend on them: it only saves shuffling other lines."""
+    """A bit table of the (document, line) columns of `pairs`, of a size that doesn't depend on them: it only saves shuffling other lines."""
     kind = "piece int, bits binary"
     rows = pairs.mapInArrow(_mark(bits), kind).repartition("piece").mapInArrow(_or_bits, kind).collect()
     table = np.zeros(((1 << bits) // 8 // PIECE, PIECE), dtype=np.uint8)
@@ -335,29 +402,29 @@ def _sets_of(shared, wanted, bits: int, min_tokens: int):
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             hashes = batch.column(1).to_numpy(zero_copy_only=False)
             for row, number, first, size, words in line_sets(batch, rarity):
-                ok = (size >= min_tokens) & want[_line_bit(docs[row], hashes[row], number, bits)]
+                at = _line_id(hashes[row], number)
+                ok = (size >= min_tokens) & want[_line_bit(docs[row], at, bits)]
                 if not ok.any():
                     continue
-                row, number = row[ok], number[ok]
                 raw = [words[a : a + n].tobytes() for a, n in zip(first[ok], size[ok])]
                 yield pa.record_batch(
-                    {"doc": docs[row], "text_hash": hashes[row], "line": number.astype(np.int32), "words": pa.array(raw, pa.binary())}
+                    {"doc": docs[row[ok]], "at": at[ok], "words": pa.array(raw, pa.binary())}
                 )
 
     return run
 
 
 def _verify(t: float):
-    """Rows are (hub, part, leaf, line, words), a hub's own set before the lines compared with it."""
+    """Rows are (hub, part, leaf, line, words): a hub's own set before the lines compared with it."""
 
     def run(batches):
         hub, own = None, None
         for b in batches:
-            keys = list(zip(*(b.column(i).to_pylist() for i in range(4))))
-            leaf = b.column(4).to_pylist()
-            line = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5, 8)]
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(3))))
+            leaf = b.column(3).to_pylist()
+            line = [b.column(i).to_numpy() for i in (4, 5)]
             hit = []
-            for i, w in enumerate(b.column(8)):
+            for i, w in enumerate(b.column(6)):
                 s = np.frombuffer(w.as_buffer(), dtype=U64)
                 if keys[i] != hub:
                     hub, own = keys[i], None
@@ -381,39 +448,42 @@ def _matched(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
         cut.select(*y, "part", F.lit(0).alias("leaf"), *[F.col(n) for n in y]).distinct()
     )
     rows = sets.join(ends, LINE).repartition(*y, "part").sortWithinPartitions(*y, "part", "leaf")
-    return rows.select(*y, "part", "leaf", *LINE, "words").mapInArrow(_verify(t), "doc long, text_hash long, line int").distinct()
+    return rows.select(*y, "part", "leaf", *LINE, "words").mapInArrow(_verify(t), "doc long, at long").distinct()
+
+
+def text_hash(text: Column) -> Column:
+    return F.hash(text)
 
 
 def removed_lines(docs: DataFrame, *, threshold: float = 0.8, min_tokens: int = 3) -> DataFrame:
-    """(doc, text_hash, line) of every line that an earlier line matches; lines are numbered from 0."""
+    """(doc, at) of every line that an earlier line matches: doc_id, and text hash and line number in one."""
     spark = docs.sparkSession
     ws = Workspace(spark, "line-dedup")
     base = docs.select(
-        F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
+        F.col("doc_id").cast("long").alias("doc"), text_hash(F.col("text").cast("string")).alias("text_hash"),
         F.col("text").cast("string").alias("text"),
     ).where("doc is not null and text is not null")
     rarity = spark.sparkContext.broadcast(word_rarity(base))
     shared = ws.save(
-        base.mapInArrow(_postings(rarity, threshold, min_tokens), _POSTING).repartition("word").mapInArrow(_share, _POSTING),
+        base.mapInArrow(_postings(rarity, threshold, min_tokens), _POSTING).repartition("word").mapInArrow(_share(threshold), _SHARED),
         "shared",
     )
-    repeated = shared.where("word is null").select(*LINE)
-    posts = shared.where("word is not null").drop("set_hash")
+    repeated = shared.where("kind = 0").select(*LINE)
+    posts = shared.where("kind = 2").select("word", *LINE, "meta", "parity", "wide")
 
     # The earlier line that most prefix words of a line lead to is tried first.
-    votes = posts.repartition("word").mapInArrow(_first_pairs(threshold), _PAIR).groupBy(*_names(_PAIR)).count()
+    votes = shared.where("kind = 1").select(*[F.col(n).alias(f"x_{n}") for n in LINE], *[f"y_{n}" for n in LINE]).groupBy(*_names(_PAIR)).count()
     best = Window.partitionBy(*[f"x_{n}" for n in LINE]).orderBy(F.desc("count"), *[f"y_{n}" for n in LINE])
+    votes = votes.where("count >= 2")  # pairs with fewer wait for the second round, which takes all
     first = ws.save(votes.withColumn("k", F.row_number().over(best)).where("k = 1").select(*_names(_PAIR)), "first")
     hits = ws.save(_matched(first, _sets(base, first, rarity, min_tokens), threshold), "hits")
 
     # Lines without a match yet meet every earlier candidate.
     open_posts = posts.join(hits.withColumn("hit", F.lit(True)), LINE, "left").select(
-        "word", *LINE, "size", "pos", F.col("hit").isNull().alias("open")
-    )
-    others = ws.save(
-        open_posts.repartition("word").mapInArrow(_other_pairs(threshold), _PAIR).distinct().join(first, _names(_PAIR), "left_anti"),
-        "others",
+        "word", *LINE, "meta", "parity", "wide", F.col("hit").isNull().alias("open")
     )
+    pairs = open_posts.repartition("word").mapInArrow(_other_pairs(threshold), _OTHER)
+    others = ws.save(_enough(pairs, threshold).join(first, _names(_PAIR), "left_anti"), "others")
     late = ws.save(_matched(others, _sets(base, others, rarity, min_tokens), threshold), "late")
     out = ws.save(repeated.union(hits).union(late).distinct(), "removed")
     ws.drop(shared, first, hits, others, late)
@@ -426,16 +496,35 @@ def _names(schema: str) -> list[str]:
 
 def _sets(base: DataFrame, pairs: DataFrame, rarity, min_tokens: int, bits: int = 24) -> DataFrame:
     wanted = base.sparkSession.sparkContext.broadcast(_wanted(pairs.select(*_names(_PAIR)), bits))
-    return base.mapInArrow(_sets_of(rarity, wanted, bits, min_tokens), "doc long, text_hash long, line int, words binary").distinct()
+    return base.mapInArrow(_sets_of(rarity, wanted, bits, min_tokens), "doc long, at long, words binary").distinct()
+
+
+def _touched(shared, bits: int):
+    """Whether a document may have lost lines; wrong at times for one that hasn't, never for one that has."""
+
+    @F.arrow_udf("boolean")
+    def run(doc: pa.Array, text_hash: pa.Array) -> pa.Array:
+        d, h = (x.fill_null(0).to_numpy(zero_copy_only=False) for x in (doc, text_hash))
+        return pa.array(shared.value[_line_bit(d, h, bits)])
+
+    return run
 
 
 def drop_repeated_lines(docs: DataFrame, *, threshold: float = 0.8, min_tokens: int = 3, count: str | None = None) -> DataFrame:
-    """`docs` with the text of the lines that stay; `count` names an extra column for the number of lines removed."""
+    """`docs` with the text of the lines that stay; `count` names an extra column for the number of lines removed.
+
+    Only documents that may have lost lines are shuffled.
+    """
     gone = removed_lines(docs, threshold=threshold, min_tokens=min_tokens)
-    lists = gone.groupBy(F.col("doc").alias("__gm_doc"), F.col("text_hash").alias("__gm_hash")).agg(F.collect_set("line").alias("__gm_gone"))
+    gone = gone.select(F.col("doc").alias("__gm_doc"), F.expr("cast(at >> 32 as int)").alias("__gm_hash"), F.expr("cast(at & 4294967295 as int)").alias("__gm_line"))
+    lists = gone.groupBy("__gm_doc", "__gm_hash").agg(F.collect_set("__gm_line").alias("__gm_gone"))
+    bits = 22
+    shared = docs.sparkSession.sparkContext.broadcast(_wanted(gone.select("__gm_doc", F.col("__gm_hash").cast("long")).distinct(), bits))
     text = F.col("text").cast("string")
-    keyed = docs.withColumn("__gm_key", F.col("doc_id").cast("long")).withColumn("__gm_text_hash", F.when(text.isNotNull(), F.xxhash64(text)))
-    both = keyed.join(lists, (F.col("__gm_key") == F.col("__gm_doc")) & (F.col("__gm_text_hash") == F.col("__gm_hash")), "left")
+    key, hashed = F.col("doc_id").cast("long"), F.when(text.isNotNull(), text_hash(text))
+    keyed = docs.withColumn("__gm_key", key).withColumn("__gm_text_hash", hashed)
+    touched = _touched(shared, bits)(F.col("__gm_key"), F.col("__gm_text_hash").cast("long"))
+    both = keyed.where(touched).join(lists, (F.col("__gm_key") == F.col("__gm_doc")) & (F.col("__gm_text_hash") == F.col("__gm_hash")), "left")
     kept = F.array_join(
         F.filter(F.split(text, "\n", -1), lambda s, i: ~F.array_contains(F.col("__gm_gone"), i)), "\n"
     )
@@ -444,4 +533,5 @@ def drop_repeated_lines(docs: DataFrame, *, threshold: float = 0.8, min_tokens:
         for c in docs.columns
     ]
     extra = [F.coalesce(F.size("__gm_gone"), F.lit(0)).alias(count)] if count else []
-    return both.select(*cols, *extra)
+    rest = keyed.where(~touched).select(*[F.col(f"`{c}`") for c in docs.columns], *([F.lit(0).alias(count)] if count else []))
+    return both.select(*cols, *extra).union(rest)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import bpe, embedding_dedup, langid, line_dedup, mixing, near_dedup, sharding, suffix_dedup, token_counts
+from glyphmill.llm import bpe, embedding_dedup, langid, line_dedup, media, mixing, near_dedup, sharding, suffix_dedup, token_counts
 
 
 SHARDS, APPENDED = 256, 32
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_media(_table(spark, sf_dir, "pages"), "html")[0]
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
+    "op3_media_columns": op3_media_columns,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
