@@ -84,10 +84,10 @@ _JUMP = """
 ORACLE_SQL: dict[str, str] = {
     "op6_embedding_near_dedup": """
 WITH RECURSIVE v AS (
-    SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings
+    SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings
   ), near AS (
     SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
-    WHERE list_sum(list_transform(list_zip(a.embedding, b.embedding), p -> p[1]::DOUBLE * p[2]::DOUBLE)) >= 0.95 * a.norm * b.norm
+    WHERE list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) >= 0.95 * a.norm * b.norm
   ), reach(vec_id, other) AS (
     SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, n.b FROM reach r JOIN near n ON n.a = r.other
   )
