@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm import textnum
-from glyphmill.llm.common import Workspace
+from glyphmill.llm.common import Workspace, trim
 
 U64 = np.uint64
 CELLS = 1 << 20  # of the hashed word counts: 1 MB of classes, whatever the data
@@ -129,7 +129,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in textnum.slices(off, SLICE):
             low = fold(buf[off[lo] : off[hi]])
             s, e, _ = textnum.word_spans(low, off[lo : hi + 1] - off[lo])
-            counts += np.bincount((textnum.span_hashes(low, s, e) >> U64(44)).astype(np.int64), minlength=CELLS)
+            np.add.at(counts, (textnum.span_hashes(low, s, e) >> U64(44)).astype(np.int64), 1)
     part = np.minimum(counts, (1 << 31) - 1).astype(np.uint32).reshape(-1, PIECE)
     keep = np.flatnonzero(part.any(axis=1))
     yield pa.record_batch({"piece": pa.array(keep.astype(np.int32)), "counts": pa.array([part[i].tobytes() for i in keep], pa.binary())})
@@ -155,12 +155,16 @@ def word_rarity(base: DataFrame) -> np.ndarray:
 
 
 _POSTING = "word long, doc long, at long, meta long, parity long, wide binary"
-#: What leaves a word's group: kind 0 a line whose set came earlier, 1 a candidate pair, 2 a posting of a group with candidates.
-_SHARED = "kind byte, word long, doc long, at long, meta long, parity long, wide binary, y_doc long, y_at long"
+#: What leaves a word's group.  Kind 0: a line whose set came earlier.  1: a candidate pair, where all candidates of the line in
+#: this group were found; 2: one of the first candidates of a line that has more.  3 and 4: the postings of a group in which some
+#: line has more candidates, 3 for those lines and 4 for the others.
+_SHARED = "kind byte, word long, doc long, at long, meta long, parity long, wide binary, y_doc long, y_at long, y_meta long"
 _TYPES = {
     "kind": pa.int8(), "word": pa.int64(), "doc": pa.int64(), "at": pa.int64(), "meta": pa.int64(), "parity": pa.int64(),
-    "wide": pa.binary(), "y_doc": pa.int64(), "y_at": pa.int64(),
+    "wide": pa.binary(), "y_doc": pa.int64(), "y_at": pa.int64(), "y_meta": pa.int64(),
 }
+CHUNK = 1 << 16  # postings that are worked on at once; a larger group stands alone
+MOST = 4  # candidates of a line in a group before the rest waits for the second round
 #: Sizes up to which 64 parity bits tell sets apart, and those for 128, 256, 512 and 1024 bits.
 NARROW, WIDE = 80, ((200, 16), (460, 32), (1000, 64), (1 << 62, 128))
 
@@ -208,6 +212,7 @@ def _postings(shared, t: float, min_tokens: int):
                         "wide": wide.take(pa.array(at)),
                     }
                 )
+        trim()
 
     return run
 
@@ -239,15 +244,17 @@ def _columns(t: pa.Table) -> tuple[dict[str, np.ndarray], list[bytes | None]]:
 def _fits(c: dict[str, np.ndarray], wide: list[bytes | None], x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
     """Whether the sets of postings x and y pass the length and parity filters; the same in every word's group."""
     sx, sy = c["size"][x], c["size"][y]
+    ok = np.minimum(sx, sy) >= t * np.maximum(sx, sy) - 1e-9
+    live = np.flatnonzero(ok)
+    x, y, sx, sy = x[live], y[live], sx[live], sy[live]
     spare = sx + sy - 2 * need(sx, sy, t)  # words that may be in one set only
-    ok = (np.minimum(sx, sy) >= t * np.maximum(sx, sy) - 1e-9) & (
-        np.bitwise_count(c["parity"][x].view(U64) ^ c["parity"][y].view(U64)) <= spare
-    )
-    large = np.flatnonzero(ok & (sx > NARROW) & (sy > NARROW))
+    fit = np.bitwise_count(c["parity"][x].view(U64) ^ c["parity"][y].view(U64)) <= spare
+    large = np.flatnonzero(fit & (sx > NARROW) & (sy > NARROW))
     for i in large:
         a, b = wide[c["nth"][x[i]]], wide[c["nth"][y[i]]]
         if len(a) == len(b) and (int.from_bytes(a) ^ int.from_bytes(b)).bit_count() > spare[i]:
-            ok[i] = False
+            fit[i] = False
+    ok[live] = fit
     return ok
 
 
@@ -262,11 +269,12 @@ def _starts(c: dict[str, np.ndarray]) -> np.ndarray:
     return np.repeat(head, np.diff(np.append(head, len(c["word"]))))
 
 
-def _share(t: float):
-    """From the postings of whole words: repeated sets, first candidates, and the groups that have candidates."""
+def _rows(kind: int, n: int, **cols) -> pa.RecordBatch:
+    return pa.record_batch({**{m: pa.nulls(n, k) for m, k in _TYPES.items()}, "kind": pa.array(np.full(n, kind, np.int8)), **cols})
 
-    def rows(kind: int, n: int, **cols) -> pa.RecordBatch:
-        return pa.record_batch({**{m: pa.nulls(n, k) for m, k in _TYPES.items()}, "kind": pa.array(np.full(n, kind, np.int8)), **cols})
+
+def _share(t: float):
+    """From the postings of whole words: repeated sets, candidate pairs, and the groups with lines that have more candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _whole(batches)
@@ -276,45 +284,78 @@ def _share(t: float):
         order = np.argsort(word, kind="stable")
         start = np.flatnonzero(_new(word[order]))
         count = np.diff(np.append(start, len(order)))
-        table = table.take(pa.array(order[np.repeat(count > 1, count)]))
-        if not table.num_rows:
-            return
-        c, wide = _columns(table)
-        c = _sorted(c, ["word", "set", "parity", *LINE])
-        lead = _new(c["word"], c["set"], c["parity"])
-        first = np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))
-        other = np.zeros(len(lead), dtype=bool)  # a repeated row has the same lines as its first
-        for n in LINE:
-            other |= c[n] != c[n][first]
-        again = np.flatnonzero(other & (c["pos"] == 0))
-        yield rows(0, len(again), **{n: pa.array(c[n][again]) for n in LINE})
-
-        c = _sorted({n: v[lead] for n, v in c.items()}, ["word", *LINE])
-        start = _starts(c)
-        x, y = _first_fits(c, wide, start, t)
-        yield rows(1, len(x), **{n: pa.array(c[n][x]) for n in LINE}, **{f"y_{n}": pa.array(c[n][y]) for n in LINE})
-        keep = np.flatnonzero(np.isin(start, np.unique(start[x])))
-        cols = {n: pa.array(c[n][keep]) for n in ("word", *LINE, "meta", "parity")}
-        cols["wide"] = pa.array([wide[i] for i in c["nth"][keep]], pa.binary())
-        yield from pa.Table.from_batches([rows(2, len(keep), **cols)]).to_batches(max_chunksize=50000)
+        order = order[np.repeat(count > 1, count)]
+        bounds = np.concatenate([[0], np.cumsum(count[count > 1])])
+        for lo, hi in textnum.slices(bounds, CHUNK):
+            yield from _share_words(table.take(pa.array(order[bounds[lo] : bounds[hi]])), t)
+        del table, word, order
+        trim()
 
     return run
 
 
-def _first_fits(c: dict[str, np.ndarray], wide: list, start: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each posting the earliest other line of its group that passes the filters."""
+def _share_words(table: pa.Table, t: float) -> Iterator[pa.RecordBatch]:
+    """`_share` for a table in the order of its words."""
+    c, wide = _columns(table)
+    c["group"] = np.cumsum(_new(c["word"])) - 1
+    order = np.lexsort((c["at"], c["doc"]))
+    c["rank"] = np.empty(len(order), np.int64)
+    c["rank"][order] = np.cumsum(_new(c["doc"][order], c["at"][order])) - 1
+
+    same = textnum.mix(c["word"].view(U64) ^ textnum.mix(c["set"] ^ textnum.mix(c["parity"].view(U64))))
+    order = np.lexsort((c["rank"], same))
+    lead = _new(same[order])
+    first = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
+    # a repeated row has the same lines as its first
+    again = order[(c["rank"][order] != c["rank"][first]) & (c["pos"][order] == 0)]
+    yield _rows(0, len(again), **{n: pa.array(c[n][again]) for n in LINE})
+
+    step = max(np.log(1 / t), 0.005) * 1.000001  # sizes that may match lie in the same or in neighbouring classes
+    c = {n: v[order[lead]] for n, v in c.items()}
+    c["class"] = np.floor(np.log(c["size"]) / step).astype(np.int64) + 1
+    key = (c["group"] << 44) | (c["class"] << 32) | c["rank"]
+    order = np.argsort(key)
+    c, key = {n: v[order] for n, v in c.items()}, key[order]
+    x, y, more = _candidates(c, wide, key, t)
+    for kind, pick in ((1, ~more[x]), (2, more[x])):
+        i, j = x[pick], y[pick]
+        cols = {n: pa.array(c[n][i]) for n in (*LINE, "meta")} | {f"y_{n}": pa.array(c[n][j]) for n in (*LINE, "meta")}
+        yield from pa.Table.from_batches([_rows(kind, len(i), **cols)]).to_batches(max_chunksize=50000)
+    inside = np.isin(c["group"], c["group"][more])
+    for kind, pick in ((3, inside & more), (4, inside & ~more)):
+        keep = np.flatnonzero(pick)
+        cols = {n: pa.array(c[n][keep]) for n in ("word", *LINE, "meta", "parity")}
+        cols["wide"] = pa.array([wide[i] for i in c["nth"][keep]], pa.binary())
+        yield from pa.Table.from_batches([_rows(kind, len(keep), **cols)]).to_batches(max_chunksize=50000)
+
+
+def _candidates(c: dict[str, np.ndarray], wide: list, key: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, earlier line of its group that passes the filters), and which lines may have more than those found."""
+    n = len(key)
+    found, more = np.zeros(n, np.int64), np.zeros(n, dtype=bool)
     xs, ys = [], []
-    x = np.flatnonzero(start < np.arange(len(start)))
-    step = 0
-    while len(x):
-        y = start[x] + step
-        ok = _fits(c, wide, x, y, t)
-        xs.append(x[ok])
-        ys.append(y[ok])
-        step += 1
-        x = x[~ok]
-        x = x[start[x] + step < x]
-    return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.empty(0, np.int64), np.empty(0, np.int64))
+    for d in (0, -1, 1):
+        base = key - c["rank"] + (d << 32)
+        low, high = np.searchsorted(key, base), np.searchsorted(key, base + c["rank"])
+        x = np.flatnonzero(low < high)
+        more[x[found[x] >= MOST]] = True
+        x = x[found[x] < MOST]
+        at = low[x]
+        while len(x):
+            many = max(1, CHUNK // len(x))
+            i, j = np.repeat(x, many), (at[:, None] + np.arange(many)).reshape(-1)
+            inside = j < high[i]
+            i, j = i[inside], j[inside]
+            ok = _fits(c, wide, i, j, t)
+            xs.append(i[ok])
+            ys.append(j[ok])
+            np.add.at(found, i[ok], 1)
+            at = at + many
+            left = at < high[x]
+            full = found[x] >= MOST
+            more[x[left & full]] = True
+            x, at = x[left & ~full], at[left & ~full]
+    return (np.concatenate(xs), np.concatenate(ys), more) if xs else (np.empty(0, np.int64), np.empty(0, np.int64), more)
 
 
 _PAIR = "x_doc long, x_at long, y_doc long, y_at long"
@@ -336,7 +377,7 @@ def _other_pairs(t: float):
         ends = np.cumsum(many)
         lo = 0
         while lo < len(rows):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), side="right")))
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 18), side="right")))
             r, m = rows[lo:hi], many[lo:hi]
             lo = hi
             x = np.repeat(r, m)
@@ -363,12 +404,17 @@ def _line_bit(doc: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
     return (textnum.mix(key) >> U64(64 - bits)).astype(np.int64)
 
 
+ANY = (1 << 32) - 1  # in place of a line's number: any line of the document
+
+
 def _mark(bits: int):
     def run(batches):
         seen = np.zeros(1 << bits, dtype=bool)
         for b in batches:
             for s in range(0, b.num_columns, 2):
-                seen[_line_bit(b.column(s).to_numpy(), b.column(s + 1).to_numpy(), bits)] = True
+                doc, at = b.column(s).to_numpy(), b.column(s + 1).to_numpy()
+                seen[_line_bit(doc, at, bits)] = True
+                seen[_line_bit(doc, at | ANY, bits)] = True
         part = np.packbits(seen).reshape(-1, PIECE)
         keep = np.flatnonzero(part.any(axis=1))
         yield pa.record_batch({"piece": pa.array(keep.astype(np.int32)), "bits": pa.array([part[i].tobytes() for i in keep], pa.binary())})
@@ -401,6 +447,8 @@ def _sets_of(shared, wanted, bits: int, min_tokens: int):
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             hashes = batch.column(1).to_numpy(zero_copy_only=False)
+            some = want[_line_bit(docs, _line_id(hashes, np.array(ANY)), bits)]
+            batch, docs, hashes = batch.filter(pa.array(some)), docs[some], hashes[some]
             for row, number, first, size, words in line_sets(batch, rarity):
                 at = _line_id(hashes[row], number)
                 ok = (size >= min_tokens) & want[_line_bit(docs[row], at, bits)]
@@ -410,6 +458,7 @@ def _sets_of(shared, wanted, bits: int, min_tokens: int):
                 yield pa.record_batch(
                     {"doc": docs[row[ok]], "at": at[ok], "words": pa.array(raw, pa.binary())}
                 )
+        trim()
 
     return run
 
@@ -469,21 +518,29 @@ def removed_lines(docs: DataFrame, *, threshold: float = 0.8, min_tokens: int =
         "shared",
     )
     repeated = shared.where("kind = 0").select(*LINE)
-    posts = shared.where("kind = 2").select("word", *LINE, "meta", "parity", "wide")
+    found = shared.where("kind in (1, 2)").select(
+        "kind", *[F.col(n).alias(f"x_{n}") for n in LINE], *[f"y_{n}" for n in LINE],
+        *[F.expr(f"cast({e} as int)").alias(f"{s}_{n}") for n, f in (("pos", "{} & 16777215"), ("size", "(shiftright({}, 24) & 16777215)"))
+          for s, e in (("x", f.format("meta")), ("y", f.format("y_meta")))],
+    )
 
     # The earlier line that most prefix words of a line lead to is tried first.
-    votes = shared.where("kind = 1").select(*[F.col(n).alias(f"x_{n}") for n in LINE], *[f"y_{n}" for n in LINE]).groupBy(*_names(_PAIR)).count()
+    votes = found.groupBy(*_names(_PAIR)).count()
     best = Window.partitionBy(*[f"x_{n}" for n in LINE]).orderBy(F.desc("count"), *[f"y_{n}" for n in LINE])
     votes = votes.where("count >= 2")  # pairs with fewer wait for the second round, which takes all
     first = ws.save(votes.withColumn("k", F.row_number().over(best)).where("k = 1").select(*_names(_PAIR)), "first")
     hits = ws.save(_matched(first, _sets(base, first, rarity, min_tokens), threshold), "hits")
 
     # Lines without a match yet meet every earlier candidate.
-    open_posts = posts.join(hits.withColumn("hit", F.lit(True)), LINE, "left").select(
-        "word", *LINE, "meta", "parity", "wide", F.col("hit").isNull().alias("open")
+    posts = shared.where("kind in (3, 4)").select("word", *LINE, "meta", "parity", "wide", (F.col("kind") == 3).alias("more"))
+    hit = hits.withColumn("hit", F.lit(True))
+    open_posts = posts.join(hit, LINE, "left").select(
+        "word", *LINE, "meta", "parity", "wide", (F.col("more") & F.col("hit").isNull()).alias("open")
     )
     pairs = open_posts.repartition("word").mapInArrow(_other_pairs(threshold), _OTHER)
-    others = ws.save(_enough(pairs, threshold).join(first, _names(_PAIR), "left_anti"), "others")
+    x_hits = hits.select(*[F.col(n).alias(f"x_{n}") for n in LINE])
+    known = found.where("kind = 1").select(*_names(_OTHER)).join(x_hits, [f"x_{n}" for n in LINE], "left_anti")
+    others = ws.save(_enough(pairs.union(known), threshold).join(first, _names(_PAIR), "left_anti"), "others")
     late = ws.save(_matched(others, _sets(base, others, rarity, min_tokens), threshold), "late")
     out = ws.save(repeated.union(hits).union(late).distinct(), "removed")
     ws.drop(shared, first, hits, others, late)
