@@ -3,11 +3,14 @@
 A payload is stored once, under the SHA-256 digest of its bytes, as a member of
 a tar shard; the shard follows from the digest.  Rows carry the digest, the
 shard, and the offset and length of the member's bytes, so any payload can be
-read by one range request.  Metadata columns are filled by reading only the
-first bytes of each member, never a whole payload.
+read by one range request.  Metadata columns are filled by reading each member
+from its start until the values are found: one short range as a rule, more
+where they stand further on, all of it only where one of them is missing.
 
 Text payloads are stored as zstd frames (`encoding`), others as they are;
 offset and length are those of the stored bytes, size is that of the payload.
+A frame's first blocks end after 2 KB of text, 4 KB and so on, as a block can
+be decoded only when it is complete.
 
 A task writes its shards under names of their own, and the rows that it returns
 name them; the table of locations is written before it is used.  So a task that
@@ -20,8 +23,9 @@ Defined results
   of no bytes, length and size 0, media type "application/x-empty".
 * Equal payloads, repeated rows among them, share one member.
 * Payloads of any length are stored whole; one that can't be told is
-  "application/octet-stream" with null metadata, and so is a header that ends
-  before the values are found.
+  "application/octet-stream" with null metadata.  The media type follows from
+  the first 2048 bytes, the values are those that the whole payload tells, and
+  a value that it doesn't hold is null.
 * Nulls in other columns pass through.  A further column named like a result
   column is replaced by the result.
 * Empty table: no rows and no shards.
@@ -45,6 +49,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import Workspace
 
 HEADER_BYTES = 2048
+BLOCK_BYTES = 1 << 17  # of plain text, the most in a zstd block
 LEVEL = 9
 PLACE = ["digest", "shard", "offset", "length", "size", "encoding"]
 META = ["media_type", "width", "height", "channels", "sample_rate", "charset", "title"]
@@ -53,8 +58,13 @@ _META_TYPE = "media_type string, width int, height int, channels int, sample_rat
 _RECORD = 512
 
 
+_CHARSET = re.compile(r"charset=[\"']?([\w-]+)", re.I)
+_TITLE = re.compile(r"<title[^>]*>(.*?)</title>", re.I | re.S)
+
+
 def sniff(head: bytes) -> str:
-    """Media type by the first bytes."""
+    """Media type by the first HEADER_BYTES bytes."""
+    head = head[:HEADER_BYTES]
     for magic, kind in (
         (b"\x89PNG\r\n\x1a\n", "image/png"), (b"GIF87a", "image/gif"), (b"GIF89a", "image/gif"), (b"\xff\xd8\xff", "image/jpeg"),
         (b"BM", "image/bmp"), (b"%PDF-", "application/pdf"), (b"fLaC", "audio/flac"), (b"OggS", "audio/ogg"), (b"ID3", "audio/mpeg"),
@@ -80,6 +90,35 @@ def sniff(head: bytes) -> str:
     return "text/plain" if all(c.isprintable() or c.isspace() for c in text) else "application/octet-stream"
 
 
+def _jpeg_frame(head: bytes) -> int:
+    """Where the frame header of a JPEG stands, or the first segment that `head` doesn't hold."""
+    at = 2
+    while at + 4 <= len(head) and head[at] == 0xFF:
+        mark, size = head[at + 1], struct.unpack(">H", head[at + 2 : at + 4])[0]
+        if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+            break
+        at += 2 + size
+    return at
+
+
+def bytes_needed(head: bytes) -> int:
+    """Length of the start that holds all values, as far as `head` tells: above its own length, more has to be read."""
+    if len(head) < HEADER_BYTES:
+        return HEADER_BYTES
+    kind = sniff(head)
+    if kind == "image/jpeg":
+        at = _jpeg_frame(head)
+        return at + 10 if at >= len(head) or head[at] == 0xFF else 0
+    if kind == "audio/wav":
+        at = head.find(b"fmt ")
+        return at + 16 if at >= 0 else len(head) + 1
+    if kind == "text/html":
+        text = head.decode("utf-8", "replace")
+        m = _CHARSET.search(text)
+        return 0 if m and m.end() < len(text) and _TITLE.search(text) else len(head) + 1
+    return 0
+
+
 def header_metadata(head: bytes) -> dict:
     """Metadata that the first bytes tell."""
     kind = sniff(head)
@@ -95,21 +134,17 @@ def header_metadata(head: bytes) -> dict:
             out["width"], out["height"] = struct.unpack("<ii", head[18:26])
             out["height"] = abs(out["height"])
         elif kind == "image/jpeg":
-            at = 2
-            while head[at] == 0xFF:
-                mark, size = head[at + 1], struct.unpack(">H", head[at + 2 : at + 4])[0]
-                if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
-                    out["height"], out["width"], out["channels"] = struct.unpack(">HHB", head[at + 5 : at + 10])
-                    break
-                at += 2 + size
+            at = _jpeg_frame(head)
+            if head[at] == 0xFF:
+                out["height"], out["width"], out["channels"] = struct.unpack(">HHB", head[at + 5 : at + 10])
         elif kind == "audio/wav":
             at = head.index(b"fmt ")
             out["channels"], out["sample_rate"] = struct.unpack("<HI", head[at + 10 : at + 16])
         elif kind == "text/html":
             text = head.decode("utf-8", "replace")
-            if m := re.search(r"charset=[\"']?([\w-]+)", text, re.I):
+            if m := _CHARSET.search(text):
                 out["charset"] = m[1].lower()
-            if m := re.search(r"<title[^>]*>(.*?)</title>", text, re.I | re.S):
+            if m := _TITLE.search(text):
                 out["title"] = m[1].strip()
     except (struct.error, IndexError, ValueError):
         pass
@@ -118,7 +153,12 @@ def header_metadata(head: bytes) -> dict:
 
 def _store(payload: bytes) -> tuple[str, bytes]:
     if sniff(payload[:HEADER_BYTES]).startswith("text/"):
-        return "zstd", zstandard.ZstdCompressor(level=LEVEL).compress(payload)
+        zstd = zstandard.ZstdCompressor(level=LEVEL).compressobj(size=len(payload))
+        parts, at, cut = [], 0, HEADER_BYTES
+        while cut < min(len(payload), BLOCK_BYTES):
+            parts += [zstd.compress(payload[at:cut]), zstd.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)]
+            at, cut = cut, 2 * cut
+        return "zstd", b"".join([*parts, zstd.compress(payload[at:]), zstd.flush()])
     return "identity", payload
 
 
@@ -182,10 +222,23 @@ def _write_shards(folder: str):
 
 
 def _plain(stored: bytes, encoding: str) -> bytes:
-    """The payload's bytes as far as the stored ones reach."""
+    """The payload's bytes."""
     return zstandard.ZstdDecompressor().decompressobj().decompress(stored) if encoding == "zstd" and stored else stored
 
 
+def _read_start(file: pa.NativeFile, offset: int, length: int, encoding: str, header_bytes: int) -> bytes:
+    """The payload's first bytes, in ranges of `header_bytes` and more, until they hold all values or the member ends."""
+    zstd = zstandard.ZstdDecompressor().decompressobj() if encoding == "zstd" else None
+    head, at = b"", 0
+    while at < length and (need := bytes_needed(head) - len(head)) > 0:
+        part = file.read_at(min(length - at, max(header_bytes, need, at)), offset + at)
+        if not part:
+            raise ValueError("a shard ends within a member")
+        at += len(part)
+        head += zstd.decompress(part) if zstd else part
+    return head
+
+
 def _read_headers(folder: str, header_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(folder)
@@ -195,8 +248,7 @@ def _read_headers(folder: str, header_bytes: int):
             for shard, offset, length, encoding in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5))):
                 if shard != name:
                     name, file = shard, fs.open_input_file(f"{root}/{shard}")
-                head = file.read_at(min(length, header_bytes), offset)
-                found.append(header_metadata(_plain(head, encoding)))
+                found.append(header_metadata(_read_start(file, offset, length, encoding, header_bytes)))
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             meta = [pa.array([m[n] for m in found], k) for n, k in zip(META, kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *meta], names=PLACE + META)
