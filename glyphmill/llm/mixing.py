@@ -5,7 +5,8 @@
    tokens; a block may hold the end of one document and the start of the next.
    Packing runs over streams, which are the documents of a source with the same
    hash class of doc_id, in the order of doc_id; the last block of a stream is
-   short.
+   short.  The number of classes follows from the source's own tokens, so that
+   how full its blocks are doesn't depend on other sources.
 2. Draw: every output shard draws its source counts from a multinomial
    distribution over the target weights, seeded by the shard's number.
 3. Map: the slots of a source are numbered over all shards.  Slot j takes the
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -203,6 +204,13 @@ def _indexes(shard_blocks: int, total: int, blocks: np.ndarray, seed: int):
     return run
 
 
+def _by_source(values: dict[str | None, int]) -> Column:
+    """The value of each row's source; null for a source that isn't in `values`."""
+    table = [F.lit(x) for s, v in values.items() if s is not None for x in (s, v)]
+    known = F.try_element_at(F.create_map(*table), F.col("source")) if table else F.lit(None)
+    return F.when(F.col("source").isNull(), F.lit(values.get(None))).otherwise(known).cast("int")
+
+
 def _mix(
     docs: DataFrame, extra: list[str], blocks_out: bool, *, weights: dict | None = None, temperature: float = 2.0,
     block_tokens: int = 1024, shard_blocks: int = 4096, total_blocks: int | None = None, stream_tokens: int = 8_000_000,
@@ -213,27 +221,22 @@ def _mix(
     doc = F.col("doc_id").cast("long").alias("doc")
     source, text = F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")
     counts = ws.save(docs.select(source, doc, text).mapInArrow(_count, "source string, doc long, n long"), "counts")
-    all_tokens = counts.agg(F.sum("n")).first()[0] or 0
-    classes = max(1, -(-all_tokens // stream_tokens))
-    klass = F.pmod(F.xxhash64(F.coalesce("doc", F.lit(-1))), F.lit(classes)).cast("int").alias("class")
+    tokens = {r["source"]: r["n"] for r in counts.groupBy("source").agg(F.sum("n").alias("n")).where("n > 0").collect()}
+    classes = _by_source({s: -(-n // stream_tokens) for s, n in tokens.items()})
+    klass = F.pmod(F.xxhash64(F.coalesce("doc", F.lit(-1))), classes).cast("int").alias("class")
     streams = ws.save(
         counts.groupBy("source", klass).agg(F.sum("n").alias("n")).where("n > 0")
         .withColumn("blocks", F.expr(f"(n + {block_tokens - 1}) div {block_tokens}")),
         "streams",
     )
     ws.drop(counts)
-    sums = streams.groupBy("source").agg(F.sum("n").alias("n"), F.sum("blocks").alias("blocks")).collect()
-    share = target_weights({r["source"]: r["n"] for r in sums}, weights, temperature)
+    share = target_weights(tokens, weights, temperature)
     names = sorted(share, key=lambda s: (s is not None, s or ""))
-    of = {r["source"]: r["blocks"] for r in sums}
+    of = {r["source"]: r["blocks"] for r in streams.groupBy("source").agg(F.sum("blocks").alias("blocks")).collect()}
     blocks = np.array([of[s] for s in names], dtype=np.int64)
     total = int(blocks.sum()) if total_blocks is None else total_blocks
     shards = -(-total // shard_blocks) if names else 0
-    number = F.lit(None).cast("int")
-    if any(s is not None for s in names):
-        table = F.create_map(*[F.lit(x) for i, s in enumerate(names) if s is not None for x in (s, i)])
-        number = F.try_element_at(table, F.col("source"))
-    source_no = F.when(F.col("source").isNull(), F.lit(names.index(None) if None in names else None)).otherwise(number).cast("int")
+    source_no = _by_source({s: i for i, s in enumerate(names)})
 
     # The blocks of a stream are a range of its source's block indexes; ranges are cut at multiples
     # of 1024 so that slots find theirs by an equi-join.
