@@ -39,8 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the mixed texts."""
-    return bpe.encode(docs, keep=["doc_id", "lang", "source", "n_chars"])
+    """Token ids of the mixed texts, and whether decoding them gives back the text."""
+    return bpe.encode(docs, keep=["doc_id", "lang", "source", "n_chars"], verify=True)
 
 
 STAGES = [
