@@ -22,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line matches go, and documents of which nothing is left; n_chars follows the text."""
     out = line_dedup.drop_repeated_lines(docs, count="__gm_lines_gone")
-    left = out.where("__gm_lines_gone = 0 or text rlike '[^[:space:]]'")
+    left = out.where((F.col("__gm_lines_gone") == 0) | F.col("text").rlike(r"\S"))
     changed = F.col("__gm_lines_gone") > 0
     cols = [F.when(changed, F.length("text")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return left.select(*cols)

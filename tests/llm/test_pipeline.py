@@ -13,3 +13,10 @@ def test_encoded_texts_are_decoded_again(spark):
     out = corpus_pipeline.encode_text(spark, table(spark, ["Grüße, 世界 \U0001f600\n\n x", "", None]), "")
     assert {r["doc_id"]: r["round_trip"] for r in out.collect()} == {0: True, 1: True, 2: None}
     assert out.columns == ["doc_id", "lang", "source", "n_chars", "token_ids", "n_tokens", "round_trip"]
+
+
+def test_documents_of_which_nothing_is_left_go(spark):
+    line = "one two three four five"
+    docs = table(spark, [line, f"{line}\n\n \n", f"{line}\npas : aces", line, "\n\n", None, f"\t{line}\n\n\nmore"])
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert out == {0: (line, 23), 2: ("pas : aces", 10), 4: ("\n\n", 2), 5: (None, None), 6: ("\n\nmore", 6)}
