@@ -2,24 +2,53 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import re
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.llm.textnum import U64, mix
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a folder of this machine serves, but only in local mode;
+    on a cluster the executors would write to disks of their own.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="glyphmill-"))
+        atexit.register(shutil.rmtree, _local[0].removeprefix("file://"), ignore_errors=True)
+    return _local[0]
+
+
+_local: list[str] = []
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, each changed as far as needed to differ from those taken, without regard to case."""
+    used = {t.lower() for t in taken}
+    out = []
+    for w in wanted:
+        name = f"gm_{w}"
+        while name in used:
+            name += "_"
+        used.add(name)
+        out.append(name)
+    return out
 
 
 #: Arrow batches of whole texts are cut at so many bytes, unless the session sets a bound itself.
@@ -62,6 +91,8 @@ class Workspace:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._glyphmill_path = path
+        # shuffle files of a finished job stay on disk until the driver collects what refers to them
+        self.spark._jvm.System.gc()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -72,7 +103,7 @@ class Workspace:
 
 
 def grouped(
-    key: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: pa.Schema, pending_rows: int = 1 << 62
+    key: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: pa.Schema
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function that calls `fn` with tables holding only whole groups of `key`.
 
@@ -160,3 +191,58 @@ def connected_components(ws: Workspace, edges: DataFrame, a: str, b: str) -> Dat
             break
         before = now
     return cur.select(F.col("v").alias("node"), F.col("u").alias("root"))
+
+
+class BitTable:
+    """Reads a table of `bit_table`."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+
+    def has(self, *key: np.ndarray) -> np.ndarray:
+        """Whether the keys may be in the table: always true for one that is."""
+        at = _bit(key, (8 * len(self.table)).bit_length() - 1)
+        return (self.table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _bit(key: tuple[np.ndarray, ...], bits: int) -> np.ndarray:
+    h = np.zeros(np.broadcast_shapes(*(k.shape for k in key)), dtype=U64)
+    for k in key:
+        h = mix(h * U64(0x9E3779B97F4A7C15) + k.astype(np.int64).view(U64))
+    return (h >> U64(64 - bits)).astype(np.int64)
+
+
+#: Bits of the largest table: 8 MB, whatever the data.
+MOST_BITS = 26
+_PIECE = 1 << 12
+
+
+def bit_table(keys: DataFrame, columns: list[str]) -> np.ndarray:
+    """A bit for each hash of the key columns (long), to leave most other rows unshuffled: false hits only, no misses.
+
+    It has 16 bits for each key, up to 2 ** MOST_BITS: beyond that it thins out fewer rows, and results stay the same.
+    """
+    keys = keys.select(*columns)
+    bits = min(MOST_BITS, max(15, (16 * keys.count()).bit_length()))
+
+    def mark(batches):
+        seen = np.zeros(1 << bits, dtype=bool)
+        for b in batches:
+            seen[_bit(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns), bits)] = True
+        part = np.packbits(seen, bitorder="little").reshape(-1, _PIECE)
+        keep = np.flatnonzero(part.any(axis=1))
+        yield pa.record_batch({"piece": pa.array(keep.astype(np.int32)), "bits": pa.array([part[i].tobytes() for i in keep], pa.binary())})
+
+    def either(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                c = np.frombuffer(c, dtype=np.uint8)
+                total[i] = total[i] | c if i in total else c
+        yield pa.record_batch({"piece": pa.array(list(total), pa.int32()), "bits": pa.array([c.tobytes() for c in total.values()], pa.binary())})
+
+    kind = "piece int, bits binary"
+    table = np.zeros(((1 << bits) // 8 // _PIECE, _PIECE), dtype=np.uint8)
+    for r in keys.mapInArrow(mark, kind).repartition("piece").mapInArrow(either, kind).collect():
+        table[r["piece"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return table.reshape(-1)

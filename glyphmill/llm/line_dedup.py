@@ -4,55 +4,76 @@ A line is the set of its words.  Words are ordered by rarity (their counts over
 all lines of all documents, hashed into a table of fixed size; ties by hash, so
 the order is total and the same everywhere).  Two lines can only reach the
 Jaccard threshold if they share a word among the first size - ceil(t * size) + 1
-of each (prefix filter), if their sizes agree (length filter) and if what is
-left after the shared words is enough (positional filter).  A parity map of each
-set, whose size follows the set's, bounds the overlap from above and drops most
-chance candidates too; none of the filters loses a match.  Candidates are verified on the whole
-sets.  A line goes if any earlier line, by doc_id and
-position, matches it, whether that one stays or not.
-
-Lines with the same set are found in the group of their rarest word and only
-the first joins.  Each line is then tried against the earlier line that most of
-its prefix words lead to, and the lines without a match after that against
-every earlier candidate, so the result is exact while large groups of copies
-don't cost a comparison for each pair.
+of each (prefix filter), if their sizes agree (length filter) and if the shared
+word's places leave room for enough others (positional filter).  A parity map
+of each set, whose size follows the set's, bounds the overlap from above and
+drops most chance candidates too; none of the filters loses a match.  A line
+goes if any earlier line, by doc_id and position, matches it, whether that one
+stays or not.
+
+1. Repeats: lines with the same set, told by the set's size, its rarest word and
+   a 128-bit digest of its words, are found in the batch of documents and then
+   in the group of their rarest word.  Only the first of them joins.
+2. In the group of each prefix word, every line keeps its `MOST` closest earlier
+   candidates.  The closest of all groups is verified on the whole sets first,
+   and the others for the lines without a match after that.
+3. A line that has no match yet and had more candidates in a group meets all
+   earlier lines of that group, whole sets in hand.  So do the lines of groups
+   above `HOT` lines, which aren't gathered into one task at all: they are cut
+   into blocks, and all pairs of blocks are compared.
+
+So the result is exact, a large group of copies costs no comparison for each
+pair, and what is shuffled follows the number of words.
 
 Defined results
 ---------------
 * Words are runs of letters and digits; case is folded for ASCII and Latin-1.
-* Lines of fewer than `min_tokens` distinct words (3 by default) are never
-  removed: blank lines, separators, one or two words repeat by chance.
+  They are compared by 64-bit hashes.
+* Lines of fewer than `min_tokens` distinct words (3 by default) are removed
+  only if they have `min_bytes` bytes (64) or more: blank lines, separators, one
+  or two words repeat by chance, a long line in an unspaced script doesn't.
 * Rows whose doc_id or text is null are returned as they are and take no part.
 * Rows that share a doc_id and differ in text are different documents, ordered
   by a 32-bit hash of the text; rows that agree in both have the same result.
 * A text that loses all its lines becomes the empty text; an empty text stays.
-* Further columns pass through untouched, whatever their names.
+* Further columns pass through untouched, whatever their names; one named like
+  `count` is replaced by it.
 * Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import textnum
-from glyphmill.llm.common import Workspace, trim
+from glyphmill.llm.common import BitTable, Workspace, bit_table, free_names, grouped, group_bounds, trim
 
 U64 = np.uint64
 CELLS = 1 << 20  # of the hashed word counts: 1 MB of classes, whatever the data
 PIECE = 1 << 10  # cells that travel in one row
-HASH_BITS = 44
 SLICE = 1 << 18
 MAX_LINES = 4096  # 12 bits beside 8 of rarity and 44 of hash
+ONCE = 8  # the rarity class of a word that occurs once
+PACK = 1 << 18  # postings that a task gathers before it sends them
+PART_BYTES = 16 << 20  # of postings in a partition
+HOLD = 1 << 20  # postings of a partition before repeats are dropped from memory
+HOT = 1 << 15  # lines of a group that are compared in one task
+CHUNK = 1 << 16  # postings that are worked on at once; a larger group stands alone
+MOST = 4  # candidates of a line that a group keeps
+GONE = 0xFFFFFFFF  # place of a posting that stands for a line removed already
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 #: A line: its document, and the hash of the text above the line's number.
 LINE = ["doc", "at"]
+X, Y = ["x_doc", "x_at"], ["y_doc", "y_at"]
 
 
 def fold(buf: np.ndarray) -> np.ndarray:
@@ -65,8 +86,8 @@ def fold(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def line_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row of each line, number of each line in its row, line of each word, hash of each word)."""
+def line_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row of each line, its number in its row, its bytes; line of each word, hash of each word)."""
     low = fold(buf)
     cut = np.flatnonzero(low == 10) + 1
     starts = np.concatenate([off[:-1], cut])
@@ -76,16 +97,21 @@ def line_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     number = np.arange(len(row)) - np.searchsorted(row, row)
     s, e, _ = textnum.word_spans(low, off)
     line = np.searchsorted(starts, s, side="right") - 1
-    return row, number, line, textnum.span_hashes(low, s, e)
+    return row, number, np.diff(np.append(starts, len(buf))), line, textnum.span_hashes(low, s, e)
 
 
-def ordered_sets(line: np.ndarray, h: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, word) without repeats, each line's words from rare to frequent; a word's value is its rank."""
-    word = (rarity[h >> U64(44)].astype(U64) << U64(HASH_BITS)) | (h & U64((1 << HASH_BITS) - 1))
-    key = np.sort((line.astype(U64) << U64(HASH_BITS + 8)) | word)
-    if len(key):
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    return (key >> U64(HASH_BITS + 8)).astype(np.int64), key & U64((1 << (HASH_BITS + 8)) - 1)
+def ordered_sets(line: np.ndarray, h: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, word, rarity class) without repeats, each line's words from rare to frequent."""
+    key = (line.astype(U64) << U64(52)) | (rarity[h >> U64(44)].astype(U64) << U64(44)) | (h >> U64(20))
+    order = np.argsort(key)
+    k, w = key[order], h[order]
+    if ((k[1:] == k[:-1]) & (w[1:] != w[:-1])).any():
+        order = np.lexsort((h, key))
+        k, w = key[order], h[order]
+    if len(k):
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (w[1:] != w[:-1])])
+        k, w = k[new], w[new]
+    return (k >> U64(52)).astype(np.int64), w, (k >> U64(44)).astype(np.uint8)
 
 
 def rarity_classes(counts: np.ndarray) -> np.ndarray:
@@ -104,22 +130,27 @@ def _pieces(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int]]:
                 yield r, r + 1
 
 
-def line_sets(batch: pa.RecordBatch, rarity: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per piece of a (doc, text_hash, text) batch: row and number of each line, first word and size of each set, words."""
+def line_sets(batch: pa.RecordBatch, rarity: np.ndarray, least: tuple[int, int]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Lines that take part, per piece of a (doc, text_hash, text) batch: doc, at, first word and size of each set; words, classes."""
+    docs = batch.column(0).to_numpy(zero_copy_only=False)
+    hashes = batch.column(1).to_numpy(zero_copy_only=False)
     buf, off = textnum.string_buffers(batch.column(2))
     for lo, hi in _pieces(buf, off):
-        row, number, line, h = line_words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        row, number, size_bytes, line, h = line_words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
         for base in range(0, len(row), MAX_LINES):  # a row with very many lines
             a, b = np.searchsorted(line, [base, base + MAX_LINES])
-            ln, words = ordered_sets(line[a:b] - base, h[a:b], rarity)
+            ln, words, classes = ordered_sets(line[a:b] - base, h[a:b], rarity)
             n = min(MAX_LINES, len(row) - base)
             first = np.searchsorted(ln, np.arange(n + 1))
-            yield row[base : base + n] + lo, number[base : base + n], first[:-1], np.diff(first), words
+            size = np.diff(first)
+            ok = np.flatnonzero((size >= least[0]) | ((size > 0) & (size_bytes[base : base + n] >= least[1])))
+            at = row[base + ok] + lo
+            yield docs[at], _line_id(hashes[at], number[base + ok]), first[ok], size[ok], words, classes
 
 
-def need(a, b, t: float):
-    """Least overlap of sets of sizes a and b that reach Jaccard t."""
-    return np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64)
+def need(total, t: float):
+    """Least overlap of two sets of `total` words together that reach Jaccard t."""
+    return np.ceil(t / (1 + t) * total - 1e-9).astype(np.int64)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,451 +175,610 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch({"piece": pa.array(list(total), pa.int32()), "counts": pa.array([c.tobytes() for c in total.values()], pa.binary())})
 
 
-def word_rarity(base: DataFrame) -> np.ndarray:
-    """Rarity class of every cell, from the words of all texts."""
+def word_counts(base: DataFrame) -> np.ndarray:
+    """Words of all texts in each cell."""
     kind = "piece int, counts binary"
     rows = base.select("text").mapInArrow(_count_words, kind).repartition("piece").mapInArrow(_sum_counts, kind).collect()
     counts = np.zeros((CELLS // PIECE, PIECE), dtype=np.int64)
     for r in rows:
         counts[r["piece"]] = np.frombuffer(r["counts"], dtype=np.int64)
-    return rarity_classes(counts.reshape(-1))
+    return counts.reshape(-1)
 
 
-_POSTING = "word long, doc long, at long, meta long, parity long, wide binary"
-#: What leaves a word's group.  Kind 0: a line whose set came earlier.  1: a candidate pair, where all candidates of the line in
-#: this group were found; 2: one of the first candidates of a line that has more.  3 and 4: the postings of a group in which some
-#: line has more candidates, 3 for those lines and 4 for the others.
-_SHARED = "kind byte, word long, doc long, at long, meta long, parity long, wide binary, y_doc long, y_at long, y_meta long"
-_TYPES = {
-    "kind": pa.int8(), "word": pa.int64(), "doc": pa.int64(), "at": pa.int64(), "meta": pa.int64(), "parity": pa.int64(),
-    "wide": pa.binary(), "y_doc": pa.int64(), "y_at": pa.int64(), "y_meta": pa.int64(),
-}
-CHUNK = 1 << 16  # postings that are worked on at once; a larger group stands alone
-MOST = 4  # candidates of a line in a group before the rest waits for the second round
+# ---- postings: packed columns, so that a row of the shuffle holds all that a task sends to one partition
+
 #: Sizes up to which 64 parity bits tell sets apart, and those for 128, 256, 512 and 1024 bits.
-NARROW, WIDE = 80, ((200, 16), (460, 32), (1000, 64), (1 << 62, 128))
+_WIDTHS = np.array([80, 200, 460, 1000])
+_COLUMNS = [("word", U64), ("doc", np.int64), ("hash", np.uint32), ("number", np.uint32), ("set", U64), ("size", np.uint32), ("pos", np.uint32), ("parity", U64)]
+
+
+def width_class(size: np.ndarray) -> np.ndarray:
+    return np.searchsorted(_WIDTHS, size)
+
+
+def wide_parity(w: np.ndarray, first: np.ndarray, size: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each class of larger sets: their numbers, and a parity map each."""
+    out = {}
+    kind = width_class(size)
+    for k in range(1, len(_WIDTHS) + 1):
+        rows = np.flatnonzero(kind == k)
+        if not len(rows):
+            continue
+        bits = 64 << k
+        n = size[rows]
+        at = np.repeat(first[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        cell = np.repeat(np.arange(len(rows)) * bits, n) + (w[at] % U64(bits)).astype(np.int64)
+        odd = (np.bincount(cell, minlength=len(rows) * bits) & 1).astype(bool)
+        out[k] = rows, np.packbits(odd).view(U64).reshape(len(rows), bits // 64)
+    return out
 
 
-def _wide_parity(w: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[bytes | None]:
-    """Parity maps of the larger sets."""
-    out: list[bytes | None] = [None] * len(size)
-    for i in np.flatnonzero(size > NARROW):
-        bits = 8 * next(b for n, b in WIDE if size[i] <= n)
-        odd = np.bincount((w[first[i] : first[i] + size[i]] % U64(bits)).astype(np.int64), minlength=bits) & 1
-        out[i] = np.packbits(odd.astype(bool)).tobytes()
-    return out
+def sketches(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
+    """Both halves of the digest, the 64-bit parity map and the wide maps of each set."""
+    w = textnum.mix(words + U64(0x632BE59BD9B4E019))
+    parity = np.concatenate([np.zeros(1, U64), np.bitwise_xor.accumulate(U64(1) << (w >> U64(58)))]) if len(w) else np.zeros(1, U64)
+    halves = []
+    for x in (w, textnum.mix(w + U64(0x9FB21C651E98DF25))):
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(x)])
+        halves.append(textnum.mix(sums[first + size] - sums[first] + size.astype(U64)))
+    return *halves, parity[first + size] ^ parity[first], wide_parity(w, first, size)
 
 
 def _line_id(text_hash: np.ndarray, number: np.ndarray) -> np.ndarray:
     return (text_hash.astype(np.int64) << 32) | number.astype(np.int64)
 
 
-def _postings(shared, t: float, min_tokens: int):
+def pack(c: dict[str, np.ndarray], wide: dict[int, np.ndarray], rows: np.ndarray) -> bytes:
+    """Postings `rows`, ascending; `wide` has a map for each posting of its class, in order."""
+    body = [np.ascontiguousarray(np.diff(c[n][rows], prepend=c[n].dtype.type(0)) if n == "doc" else c[n][rows]).tobytes() for n, _ in _COLUMNS]
+    body.append(c["set2"][rows[c["pos"][rows] == 0]].tobytes())
+    kind = c["kind"][rows]
+    body += [m[c["nth"][rows[kind == k]]].tobytes() for k, m in sorted(wide.items())]
+    return struct.pack("<q", len(rows)) + zstandard.ZstdCompressor(level=1).compress(b"".join(body))
+
+
+def unpack(blob: bytes) -> tuple[dict[str, np.ndarray], dict[int, np.ndarray]]:
+    n = struct.unpack_from("<q", blob)[0]
+    raw = zstandard.ZstdDecompressor().decompress(blob[8:])
+    c, at = {}, 0
+    for name, kind in _COLUMNS:
+        c[name] = np.frombuffer(raw, kind, n, at)
+        at += c[name].nbytes
+    c["doc"] = np.cumsum(c["doc"])
+    head = c["pos"] == 0
+    c["set2"] = np.zeros(n, U64)
+    c["set2"][head] = np.frombuffer(raw, U64, int(head.sum()), at)
+    at += 8 * int(head.sum())
+    wide = {}
+    classes = width_class(c["size"])
+    for k in range(1, len(_WIDTHS) + 1):
+        m = int((classes == k).sum())
+        wide[k] = np.frombuffer(raw, U64, m << k, at).reshape(m, 1 << k)
+        at += wide[k].nbytes
+    return c, wide
+
+
+def _numbered(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Adds the width class of each posting and the place of its map among those of the class."""
+    c["kind"] = width_class(c["size"])
+    c["nth"] = np.zeros(len(c["kind"]), np.int64)
+    for k in range(1, len(_WIDTHS) + 1):
+        rows = np.flatnonzero(c["kind"] == k)
+        c["nth"][rows] = np.arange(len(rows))
+    return c
+
+
+def _join(parts: list[tuple[dict, dict]]) -> tuple[dict[str, np.ndarray], dict[int, np.ndarray]]:
+    c = {n: np.concatenate([p[0][n] for p in parts]) for n in [*(n for n, _ in _COLUMNS), "set2"]}
+    return _numbered(c), {k: np.concatenate([p[1][k] for p in parts]) for k in parts[0][1]}
+
+
+def _take(c: dict[str, np.ndarray], wide: dict[int, np.ndarray], rows: np.ndarray) -> tuple[dict[str, np.ndarray], dict[int, np.ndarray]]:
+    out = {n: c[n][rows] for n in [*(n for n, _ in _COLUMNS), "set2"]}
+    maps = {k: m[c["nth"][rows[c["kind"][rows] == k]]] for k, m in wide.items()}
+    return _numbered(out), maps
+
+
+def _postings(shared, t: float, least: tuple[int, int], parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
+        held, many = [], 0
         for batch in batches:
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            hashes = batch.column(1).to_numpy(zero_copy_only=False)
-            for row, number, first, size, words in line_sets(batch, rarity):
-                ok = size >= min_tokens
-                row, number, first, size = row[ok], number[ok], first[ok], size[ok]
-                if not len(row):
+            for docs, at, first, size, words, classes in line_sets(batch, rarity, least):
+                if not len(docs):
                     continue
-                w = textnum.mix(words + U64(0x632BE59BD9B4E019))
-                sums = np.concatenate([np.zeros(1, U64), np.cumsum(w)])
-                set_hash = textnum.mix(sums[first + size] - sums[first] + size.astype(U64)) >> U64(48)
-                flips = np.append(U64(1) << (w >> U64(58)), U64(0))
-                parity = np.bitwise_xor.accumulate(np.concatenate([np.zeros(1, U64), flips]))
-                parity = (parity[first + size] ^ parity[first]).view(np.int64)
-                wide = pa.array(_wide_parity(w, first, size), pa.binary())
-                meta = ((set_hash << U64(48)) | (size.astype(U64) << U64(24))).view(np.int64)
-                prefix = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
-                at = np.repeat(np.arange(len(row)), prefix)
-                pos = np.arange(len(at)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-                yield pa.record_batch(
-                    {
-                        "word": words[first[at] + pos].view(np.int64), "doc": docs[row[at]],
-                        "at": _line_id(hashes[row], number)[at], "meta": meta[at] | pos, "parity": parity[at],
-                        "wide": wide.take(pa.array(at)),
-                    }
-                )
+                held.append(_piece_postings(docs, at, first, size, words, classes, t))
+                many += len(held[-1][0]["word"])
+                if many >= PACK:
+                    yield _packed(held, parts)
+                    held, many = [], 0
+        if many:
+            yield _packed(held, parts)
         trim()
 
     return run
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    held = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(held).combine_chunks() if held else None
+def _piece_postings(docs, at, first, size, words, classes, t: float) -> tuple[dict[str, np.ndarray], dict[int, np.ndarray]]:
+    set1, set2, parity, wide = sketches(words, first, size)
+    # a set that came earlier in the piece: one posting says that the line goes
+    order = np.lexsort((at, docs, set2, set1))
+    same = np.zeros(len(order), dtype=bool)
+    same[1:] = (set1[order][1:] == set1[order][:-1]) & (set2[order][1:] == set2[order][:-1]) & (size[order][1:] == size[order][:-1])
+    lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    gone = np.zeros(len(order), dtype=bool)
+    gone[order] = same & ((docs[order] != docs[lead]) | (at[order] != at[lead]))
+    drop = np.zeros(len(order), dtype=bool)
+    drop[order] = same
+    prefix = np.where(drop, 0, size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)
+    line = np.repeat(np.arange(len(docs)), prefix)
+    pos = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+    word = first[line] + pos
+    keep = classes[word] != ONCE  # a word that occurs once leads to no other line
+    line, pos, word = line[keep], pos[keep], words[word[keep]]
+    extra = np.flatnonzero(gone)
+    line, pos = np.concatenate([line, extra]), np.concatenate([pos, np.full(len(extra), GONE)])
+    word = np.concatenate([word, textnum.mix(docs[extra].view(U64) ^ textnum.mix(at[extra].view(U64)))])
+    c = {
+        "word": word, "doc": docs[line], "hash": (at[line] >> 32).astype(np.uint32), "number": at[line].astype(np.uint32), "set": set1[line],
+        "size": np.where(pos == GONE, 0, size[line]).astype(np.uint32), "pos": pos.astype(np.uint32), "parity": parity[line], "set2": np.where(pos == 0, set2[line], U64(0)),
+    }
+    kind = width_class(c["size"])
+    maps = {}
+    for k in range(1, len(_WIDTHS) + 1):
+        rows = line[kind == k]
+        if k in wide:
+            place = np.zeros(len(docs), np.int64)
+            place[wide[k][0]] = np.arange(len(wide[k][0]))
+            maps[k] = wide[k][1][place[rows]]
+        else:
+            maps[k] = np.zeros((0, 1 << k), U64)
+    return c, maps
 
 
-def _new(*cols: np.ndarray) -> np.ndarray:
-    """True where a sorted row differs from the row before in any of the columns."""
-    out = np.zeros(len(cols[0]), dtype=bool)
-    out[:1] = True
-    for c in cols:
-        out[1:] |= c[1:] != c[:-1]
-    return out
-
+def _packed(held: list, parts: int) -> pa.RecordBatch:
+    c, wide = _join(held)
+    part = (textnum.mix(c["word"].copy()) % U64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    ids = np.flatnonzero(np.diff(cut))
+    blobs = [pack(c, wide, order[cut[i] : cut[i + 1]]) for i in ids]
+    return pa.record_batch({"part": pa.array(ids.astype(np.int32)), "blob": pa.array(blobs, pa.binary())})
 
-def _columns(t: pa.Table) -> tuple[dict[str, np.ndarray], list[bytes | None]]:
-    c = {n: t[n].to_numpy(zero_copy_only=False) for n in t.column_names if n != "wide"}
-    meta = c["meta"].view(U64)
-    c["size"] = ((meta >> U64(24)) & U64(0xFFFFFF)).astype(np.int64)
-    c["pos"] = (meta & U64(0xFFFFFF)).astype(np.int64)
-    c["set"] = meta >> U64(24)  # the set's hash and size
-    c["nth"] = np.arange(len(meta))  # the wide maps stay where they are
-    return c, t["wide"].to_pylist()
 
+# ---- candidates in the groups of words
 
-def _fits(c: dict[str, np.ndarray], wide: list[bytes | None], x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
-    """Whether the sets of postings x and y pass the length and parity filters; the same in every word's group."""
-    sx, sy = c["size"][x], c["size"][y]
-    ok = np.minimum(sx, sy) >= t * np.maximum(sx, sy) - 1e-9
-    live = np.flatnonzero(ok)
-    x, y, sx, sy = x[live], y[live], sx[live], sy[live]
-    spare = sx + sy - 2 * need(sx, sy, t)  # words that may be in one set only
-    fit = np.bitwise_count(c["parity"][x].view(U64) ^ c["parity"][y].view(U64)) <= spare
-    large = np.flatnonzero(fit & (sx > NARROW) & (sy > NARROW))
-    for i in large:
-        a, b = wide[c["nth"][x[i]]], wide[c["nth"][y[i]]]
-        if len(a) == len(b) and (int.from_bytes(a) ^ int.from_bytes(b)).bit_count() > spare[i]:
-            fit[i] = False
-    ok[live] = fit
-    return ok
+#: Kind 0: a line whose set came earlier.  1: a line's closest candidate in a word's group, its next ones (z), and whether
+#: it has more.  3: a hot word and the number of its postings.
+_SHARED = "kind byte, word long, n long, doc long, at long, y_doc long, y_at long, slack int, more boolean, z_doc array<bigint>, z_at array<bigint>"
+_ARROW = {
+    "kind": pa.int8(), "word": pa.int64(), "n": pa.int64(), "doc": pa.int64(), "at": pa.int64(), "y_doc": pa.int64(), "y_at": pa.int64(),
+    "slack": pa.int32(), "more": pa.bool_(), "z_doc": pa.list_(pa.int64()), "z_at": pa.list_(pa.int64()),
+}
 
 
-def _sorted(c: dict[str, np.ndarray], by: list[str]) -> dict[str, np.ndarray]:
-    order = np.lexsort([c[n] for n in reversed(by)])
-    return {n: v[order] for n, v in c.items()}
+def _rows(kind: int, many: int, **cols) -> Iterator[pa.RecordBatch]:
+    made = {"kind": pa.array(np.full(many, kind, np.int8)), **cols}
+    t = pa.table({m: made[m] if m in made else pa.nulls(many, k) for m, k in _ARROW.items()})
+    yield from t.to_batches(max_chunksize=50000)
 
 
-def _starts(c: dict[str, np.ndarray]) -> np.ndarray:
-    """The first row of each row's word."""
-    head = np.flatnonzero(_new(c["word"]))
-    return np.repeat(head, np.diff(np.append(head, len(c["word"]))))
+def _at(c: dict[str, np.ndarray]) -> np.ndarray:
+    return _line_id(c["hash"].view(np.int32), c["number"])
 
 
-def _rows(kind: int, n: int, **cols) -> pa.RecordBatch:
-    return pa.record_batch({**{m: pa.nulls(n, k) for m, k in _TYPES.items()}, "kind": pa.array(np.full(n, kind, np.int8)), **cols})
+def _collapse(c: dict[str, np.ndarray], wide: dict[int, np.ndarray]) -> tuple[dict, dict, np.ndarray]:
+    """The postings without those of sets that came earlier, and the rows of the lines that go."""
+    at = _at(c)
+    same = textnum.mix(c["word"] ^ textnum.mix(c["set"] + c["size"].astype(U64)))
+    order = np.lexsort((at, c["doc"], same))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = False
+    for n in ("word", "set", "size", "set2"):
+        v = c[n][order]
+        new[1:] |= v[1:] != v[:-1]
+    pos = c["pos"][order]
+    new |= pos == GONE
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    later = ~new & (pos == 0) & ((c["doc"][order] != c["doc"][lead]) | (at[order] != at[lead]))
+    gone = order[later | (pos == GONE)]
+    keep = np.sort(order[new & (pos != GONE)])
+    return *_take(c, wide, keep), np.stack([c["doc"][gone], at[gone]])
 
 
-def _share(t: float):
-    """From the postings of whole words: repeated sets, candidate pairs, and the groups with lines that have more candidates."""
+def _share(t: float, together: int):
+    """From the postings of whole words: repeated sets, candidates, and words with too many postings for one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _whole(batches)
-        if table is None:
-            return
-        word = table["word"].to_numpy()
-        order = np.argsort(word, kind="stable")
-        start = np.flatnonzero(_new(word[order]))
-        count = np.diff(np.append(start, len(order)))
-        order = order[np.repeat(count > 1, count)]
-        bounds = np.concatenate([[0], np.cumsum(count[count > 1])])
-        for lo, hi in textnum.slices(bounds, CHUNK):
-            yield from _share_words(table.take(pa.array(order[bounds[lo] : bounds[hi]])), t)
-        del table, word, order
+        held, many, limit = [], 0, HOLD
+        hot: dict[int, int] = {}
+
+        def settle():
+            c, wide, gone = _collapse(*_join(held))
+            order = np.argsort(c["word"], kind="stable")
+            start = np.flatnonzero(_new(c["word"][order]))
+            count = np.diff(np.append(start, len(order)))
+            names = c["word"][order[start]]
+            over = count > together
+            if hot:
+                over |= np.isin(names, np.array(list(hot), U64))
+            for w, n in zip(names[over].tolist(), count[over].tolist()):
+                hot[w] = hot.get(w, 0) + n
+            return c, wide, gone, order, start, count, over
+
+        for batch in batches:
+            for x in batch.column(1):
+                held.append(unpack(x.as_py()))
+                many += len(held[-1][0]["word"])
+            if many > limit:
+                c, wide, gone, order, _, count, over = settle()
+                yield from _rows(0, gone.shape[1], doc=pa.array(gone[0]), at=pa.array(gone[1]))
+                held = [_take(c, wide, np.sort(order[~np.repeat(over, count)]))]
+                many = len(held[0][0]["word"])
+                limit = max(HOLD, 2 * many)
+        if held:
+            c, wide, gone, order, _, count, over = settle()
+            held = []
+            yield from _rows(0, gone.shape[1], doc=pa.array(gone[0]), at=pa.array(gone[1]))
+            use = (count > 1) & ~over
+            order = order[np.repeat(use, count)]
+            bounds = np.concatenate([[0], np.cumsum(count[use])])
+            for lo, hi in textnum.slices(bounds, CHUNK):
+                yield from _share_words(*_take(c, wide, order[bounds[lo] : bounds[hi]]), t)
+        if hot:
+            yield from _rows(3, len(hot), word=pa.array(np.array(list(hot), U64).view(np.int64)), n=pa.array(list(hot.values()), pa.int64()))
+        held = None
         trim()
 
     return run
 
 
-def _share_words(table: pa.Table, t: float) -> Iterator[pa.RecordBatch]:
-    """`_share` for a table in the order of its words."""
-    c, wide = _columns(table)
-    c["group"] = np.cumsum(_new(c["word"])) - 1
-    order = np.lexsort((c["at"], c["doc"]))
-    c["rank"] = np.empty(len(order), np.int64)
-    c["rank"][order] = np.cumsum(_new(c["doc"][order], c["at"][order])) - 1
+def _new(*cols: np.ndarray) -> np.ndarray:
+    """True where a sorted row differs from the row before in any of the columns."""
+    out = np.zeros(len(cols[0]), dtype=bool)
+    out[:1] = True
+    for c in cols:
+        out[1:] |= c[1:] != c[:-1]
+    return out
 
-    same = textnum.mix(c["word"].view(U64) ^ textnum.mix(c["set"] ^ textnum.mix(c["parity"].view(U64))))
-    order = np.lexsort((c["rank"], same))
-    lead = _new(same[order])
-    first = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
-    # a repeated row has the same lines as its first
-    again = order[(c["rank"][order] != c["rank"][first]) & (c["pos"][order] == 0)]
-    yield _rows(0, len(again), **{n: pa.array(c[n][again]) for n in LINE})
 
+def _order(c: dict[str, np.ndarray], t: float) -> np.ndarray:
+    """Adds what `candidates` reads to postings that are grouped by word, and returns their order by group, size class and line."""
+    c["at"] = _at(c)
+    order = np.lexsort((c["at"], c["doc"]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(_new(c["doc"][order], c["at"][order])) - 1
+    c["size"], c["pos"] = c["size"].astype(np.int64), c["pos"].astype(np.int64)
     step = max(np.log(1 / t), 0.005) * 1.000001  # sizes that may match lie in the same or in neighbouring classes
-    c = {n: v[order[lead]] for n, v in c.items()}
-    c["class"] = np.floor(np.log(c["size"]) / step).astype(np.int64) + 1
-    key = (c["group"] << 44) | (c["class"] << 32) | c["rank"]
-    order = np.argsort(key)
-    c, key = {n: v[order] for n, v in c.items()}, key[order]
-    x, y, more = _candidates(c, wide, key, t)
-    for kind, pick in ((1, ~more[x]), (2, more[x])):
-        i, j = x[pick], y[pick]
-        cols = {n: pa.array(c[n][i]) for n in (*LINE, "meta")} | {f"y_{n}": pa.array(c[n][j]) for n in (*LINE, "meta")}
-        yield from pa.Table.from_batches([_rows(kind, len(i), **cols)]).to_batches(max_chunksize=50000)
-    inside = np.isin(c["group"], c["group"][more])
-    for kind, pick in ((3, inside & more), (4, inside & ~more)):
-        keep = np.flatnonzero(pick)
-        cols = {n: pa.array(c[n][keep]) for n in ("word", *LINE, "meta", "parity")}
-        cols["wide"] = pa.array([wide[i] for i in c["nth"][keep]], pa.binary())
-        yield from pa.Table.from_batches([_rows(kind, len(keep), **cols)]).to_batches(max_chunksize=50000)
-
-
-def _candidates(c: dict[str, np.ndarray], wide: list, key: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, earlier line of its group that passes the filters), and which lines may have more than those found."""
-    n = len(key)
-    found, more = np.zeros(n, np.int64), np.zeros(n, dtype=bool)
-    xs, ys = [], []
+    klass = np.floor(np.log(c["size"]) / step).astype(np.int64) + 1
+    c["key"] = ((np.cumsum(_new(c["word"])) - 1) << 44) | (klass << 32) | rank
+    return np.argsort(c["key"])
+
+
+def fits(c: dict[str, np.ndarray], wide: dict[int, np.ndarray], x: np.ndarray, y: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of postings pass the length, positional and parity filters, and by how many words they do."""
+    sx, sy = c["size"][x], c["size"][y]
+    total = sx + sy
+    least = need(total, t)
+    spare = total - 2 * least  # words that may be in one set only
+    slack = spare - np.bitwise_count(c["parity"][x] ^ c["parity"][y])
+    live = np.flatnonzero((slack >= 0) & (np.minimum(sx, sy) >= t * np.maximum(sx, sy) - 1e-9))
+    x, y, slack = x[live], y[live], slack[live]
+    px, py = c["pos"][x], c["pos"][y]
+    room = np.minimum(px, py) + np.minimum(c["size"][x] - px, c["size"][y] - py)
+    ok = room >= least[live]
+    live, x, y, slack = live[ok], x[ok], y[ok], slack[ok]
+    kind = c["kind"][x]
+    both = (kind > 0) & (kind == c["kind"][y])
+    for k in np.unique(kind[both]):
+        at = np.flatnonzero(both & (kind == k))
+        far = np.bitwise_count(wide[k][c["nth"][x[at]]] ^ wide[k][c["nth"][y[at]]]).sum(axis=1, dtype=np.int64)
+        slack[at] = np.minimum(slack[at], spare[live[at]] - far)
+    ok = slack >= 0
+    return live[ok], slack[ok]
+
+
+def candidates(c, wide, key: np.ndarray, open_rows: np.ndarray, t: float, most: int, seen=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(line, earlier line of its group that passes the filters, slack) by blocks, and the lines that have more than `most` or were `seen`.
+
+    All are rows in the order of `key`.  A line is dropped once it has `most`, or once `seen` says so.
+    """
+    found = np.zeros(len(key), np.int64)
+    more = np.zeros(len(key), dtype=bool)
+    rank = key & ((1 << 32) - 1)
     for d in (0, -1, 1):
-        base = key - c["rank"] + (d << 32)
-        low, high = np.searchsorted(key, base), np.searchsorted(key, base + c["rank"])
-        x = np.flatnonzero(low < high)
-        more[x[found[x] >= MOST]] = True
-        x = x[found[x] < MOST]
+        base = key - rank + (d << 32)
+        low, high = np.searchsorted(key, base), np.searchsorted(key, base + rank)
+        x = open_rows[low[open_rows] < high[open_rows]]
+        done = (found[x] >= most) | (seen[x] if seen is not None else False)
+        more[x[done]] = True
+        x = x[~done]
         at = low[x]
         while len(x):
             many = max(1, CHUNK // len(x))
             i, j = np.repeat(x, many), (at[:, None] + np.arange(many)).reshape(-1)
             inside = j < high[i]
             i, j = i[inside], j[inside]
-            ok = _fits(c, wide, i, j, t)
-            xs.append(i[ok])
-            ys.append(j[ok])
-            np.add.at(found, i[ok], 1)
+            live, slack = fits(c, wide, i, j, t)
+            yield i[live], j[live], slack, more
+            np.add.at(found, i[live], 1)
             at = at + many
             left = at < high[x]
-            full = found[x] >= MOST
-            more[x[left & full]] = True
-            x, at = x[left & ~full], at[left & ~full]
-    return (np.concatenate(xs), np.concatenate(ys), more) if xs else (np.empty(0, np.int64), np.empty(0, np.int64), more)
+            done = (found[x] >= most) | (seen[x] if seen is not None else False)
+            more[x[left & done]] = True
+            x, at = x[left & ~done], at[left & ~done]
+
+
+def _share_words(c: dict[str, np.ndarray], wide: dict[int, np.ndarray], t: float) -> Iterator[pa.RecordBatch]:
+    """The closest candidates of each line in each group, for postings grouped by word."""
+    order = _order(c, t)
+    c = {n: v[order] for n, v in c.items()}
+    xs, ys, slacks, more = [], [], [], np.zeros(len(order), dtype=bool)
+    for x, y, slack, more in candidates(c, wide, c["key"], np.arange(len(order)), t, MOST):
+        xs.append(x)
+        ys.append(y)
+        slacks.append(slack)
+    if not xs:
+        return
+    x, y, slack = (np.concatenate(v) for v in (xs, ys, slacks))
+    if not len(x):
+        return
+    rank = c["key"] & ((1 << 32) - 1)
+    order = np.lexsort((rank[y], -slack, x))
+    x, y, slack = x[order], y[order], slack[order]
+    lead = np.flatnonzero(_new(x))
+    nth = np.arange(len(x)) - np.repeat(lead, np.diff(np.append(lead, len(x))))
+    more[x[nth >= MOST]] = True
+    rest = (nth > 0) & (nth < MOST)
+    ends = np.concatenate([[0], np.cumsum(rest)])[np.append(lead, len(x))]
+    lists = {f"z_{n}": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(c[n][y[rest]])) for n in LINE}
+    i, j = x[lead], y[lead]
+    yield from _rows(
+        1, len(i), word=pa.array(c["word"][i].view(np.int64)), more=pa.array(more[i]), slack=pa.array(slack[lead].astype(np.int32)),
+        **{n: pa.array(c[n][i]) for n in LINE}, **{f"y_{n}": pa.array(c[n][j]) for n in LINE}, **lists,
+    )
 
 
-_PAIR = "x_doc long, x_at long, y_doc long, y_at long"
-_OTHER = _PAIR + ", x_pos int, y_pos int, x_size int, y_size int"
+# ---- verification
 
+def overlaps(codes: np.ndarray, off: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Common words of the sets i and j; `codes` are 32-bit numbers of the words."""
 
-def _other_pairs(t: float):
-    """Pairs of each line that has no match yet with every earlier line of its groups, once for each word they share."""
+    def flat(k: np.ndarray) -> np.ndarray:
+        n = off[k + 1] - off[k]
+        return (np.repeat(np.arange(len(k)), n) << 32) | codes[np.repeat(off[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
-    def run(batches):
-        table = _whole(batches)
-        if table is None:
-            return
-        c, wide = _columns(table)
-        c = _sorted(c, ["word", *LINE])
-        start = _starts(c)
-        rows = np.flatnonzero(c["open"])
-        many = rows - start[rows]
-        ends = np.cumsum(many)
-        lo = 0
-        while lo < len(rows):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 18), side="right")))
-            r, m = rows[lo:hi], many[lo:hi]
-            lo = hi
-            x = np.repeat(r, m)
-            y = np.repeat(start[r], m) + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
-            ok = _fits(c, wide, x, y, t)
-            x, y = x[ok], y[ok]
-            cols = {f"{s}_{n}": c[n][i] for s, i in (("x", x), ("y", y)) for n in LINE}
-            cols |= {f"{s}_{n}": c[n][i].astype(np.int32) for n in ("pos", "size") for s, i in (("x", x), ("y", y))}
-            yield from pa.table(cols).to_batches(max_chunksize=50000)
+    both = np.sort(np.concatenate([flat(i), flat(j)]))
+    return np.bincount(both[1:][both[1:] == both[:-1]] >> 32, minlength=len(i))
 
-    return run
 
+def _coded(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(raw.view(U64), return_inverse=True)[1].astype(np.int64), off // 8
 
-def _enough(pairs: DataFrame, t: float) -> DataFrame:
-    """The positional filter over all prefix words that a pair shares: those, and what can follow the last of them."""
-    best = pairs.groupBy(*_names(_PAIR)).agg(
-        F.count("*").alias("n"), F.max("x_pos").alias("px"), F.max("y_pos").alias("py"), F.first("x_size").alias("sx"), F.first("y_size").alias("sy")
-    )
-    return best.where(F.expr(f"n + least(sx - px, sy - py) - 1 >= ceil({t / (1 + t)!r}D * (sx + sy) - 1e-9D)")).select(*_names(_PAIR))
 
+def _matching(codes: np.ndarray, off: np.ndarray, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
+    size = np.diff(off)
+    out = np.zeros(len(i), dtype=bool)
+    ends = np.concatenate([[0], np.cumsum(size[i] + size[j])])
+    for lo, hi in textnum.slices(ends, 1 << 20):
+        a, b = i[lo:hi], j[lo:hi]
+        out[lo:hi] = overlaps(codes, off, a, b) >= need(size[a] + size[b], t)
+    return out
 
-def _line_bit(doc: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
-    key = doc.astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15) ^ at.astype(np.int64).view(U64)
-    return (textnum.mix(key) >> U64(64 - bits)).astype(np.int64)
 
+def _sets_of(rarity, wanted, least: tuple[int, int]):
+    def run(batches):
+        table = BitTable(wanted.value)
+        for batch in batches:
+            docs, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            batch = batch.filter(pa.array(table.has(docs, _line_id(hashes, np.array(ANY)))))
+            if not batch.num_rows:
+                continue
+            for doc, at, first, size, words, _ in line_sets(batch, rarity.value, least):
+                ok = table.has(doc, at)
+                if ok.any():
+                    yield pa.record_batch({"doc": doc[ok], "at": at[ok], "words": _binary(words, first[ok], size[ok])})
+        trim()
 
-ANY = (1 << 32) - 1  # in place of a line's number: any line of the document
+    return run
 
 
-def _mark(bits: int):
-    def run(batches):
-        seen = np.zeros(1 << bits, dtype=bool)
-        for b in batches:
-            for s in range(0, b.num_columns, 2):
-                doc, at = b.column(s).to_numpy(), b.column(s + 1).to_numpy()
-                seen[_line_bit(doc, at, bits)] = True
-                seen[_line_bit(doc, at | ANY, bits)] = True
-        part = np.packbits(seen).reshape(-1, PIECE)
-        keep = np.flatnonzero(part.any(axis=1))
-        yield pa.record_batch({"piece": pa.array(keep.astype(np.int32)), "bits": pa.array([part[i].tobytes() for i in keep], pa.binary())})
+def _binary(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
+    at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    ends = np.concatenate([[0], np.cumsum(size) * 8]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(words[at].tobytes())])
 
-    return run
 
+ANY = GONE  # in place of a line's number: any line of the document
 
-def _or_bits(batches):
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            c = np.frombuffer(c, dtype=np.uint8)
-            total[i] = total[i] | c if i in total else c
-    yield pa.record_batch({"piece": pa.array(list(total), pa.int32()), "bits": pa.array([c.tobytes() for c in total.values()], pa.binary())})
-
-
-def _wanted(pairs: DataFrame, bits: int):
-    """A bit table of the (document, line) columns of `pairs`, of a size that doesn't depend on them: it only saves shuffling other lines."""
-    kind = "piece int, bits binary"
-    rows = pairs.mapInArrow(_mark(bits), kind).repartition("piece").mapInArrow(_or_bits, kind).collect()
-    table = np.zeros(((1 << bits) // 8 // PIECE, PIECE), dtype=np.uint8)
-    for r in rows:
-        table[r["piece"]] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return np.unpackbits(table.reshape(-1)).astype(bool)
 
+def _verify(t: float):
+    """Rows are (hub's doc, at and part, leaf, line, words): a hub's own set before the lines compared with it."""
 
-def _sets_of(shared, wanted, bits: int, min_tokens: int):
     def run(batches):
-        rarity, want = shared.value, wanted.value
+        last: pa.RecordBatch | None = None
         for batch in batches:
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            hashes = batch.column(1).to_numpy(zero_copy_only=False)
-            some = want[_line_bit(docs, _line_id(hashes, np.array(ANY)), bits)]
-            batch, docs, hashes = batch.filter(pa.array(some)), docs[some], hashes[some]
-            for row, number, first, size, words in line_sets(batch, rarity):
-                at = _line_id(hashes[row], number)
-                ok = (size >= min_tokens) & want[_line_bit(docs[row], at, bits)]
-                if not ok.any():
-                    continue
-                raw = [words[a : a + n].tobytes() for a, n in zip(first[ok], size[ok])]
-                yield pa.record_batch(
-                    {"doc": docs[row[ok]], "at": at[ok], "words": pa.array(raw, pa.binary())}
-                )
-        trim()
+            t_ = pa.Table.from_batches([b for b in (last, batch) if b is not None]).combine_chunks()
+            leaf = t_["leaf"].to_numpy().astype(bool)
+            hub = np.maximum.accumulate(np.where(leaf, 0, np.arange(len(leaf))))
+            codes, off = _coded(*textnum.string_buffers(t_["words"]))
+            x = np.flatnonzero(leaf)
+            hit = x[_matching(codes, off, x, hub[x], t)]
+            last = t_.slice(int(hub[-1]), 1).combine_chunks().to_batches()[0]
+            yield pa.record_batch({n: t_[n].to_numpy()[hit] for n in LINE})
 
     return run
 
 
-def _verify(t: float):
-    """Rows are (hub, part, leaf, line, words): a hub's own set before the lines compared with it."""
+def _matched(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """Lines x of the pairs whose Jaccard with y reaches t; a set travels once per line that it is compared with."""
+    hubs = pairs.groupBy(*Y).agg(F.ceil(F.count("*") / 5000).cast("int").alias("parts"))
+    cut = pairs.join(hubs, Y).withColumn("part", F.pmod(F.xxhash64(*X), "parts").cast("int"))
+    ends = cut.select(*Y, "part", F.lit(1).alias("leaf"), *[F.col(f"x_{n}").alias(n) for n in LINE]).union(
+        cut.select(*Y, "part", F.lit(0).alias("leaf"), *[F.col(f"y_{n}").alias(n) for n in LINE]).distinct()
+    )
+    rows = sets.join(ends, LINE).repartition(*Y, "part").sortWithinPartitions(*Y, "part", "leaf")
+    return rows.select(*Y, "part", "leaf", *LINE, "words").mapInArrow(_verify(t), "doc long, at long").distinct()
+
+
+def _rescan(rarity, wanted, t: float, least: tuple[int, int]):
+    """The whole sets of the lines that have one of the wanted words in their prefix, for each such word."""
 
     def run(batches):
-        hub, own = None, None
-        for b in batches:
-            keys = list(zip(*(b.column(i).to_pylist() for i in range(3))))
-            leaf = b.column(3).to_pylist()
-            line = [b.column(i).to_numpy() for i in (4, 5)]
-            hit = []
-            for i, w in enumerate(b.column(6)):
-                s = np.frombuffer(w.as_buffer(), dtype=U64)
-                if keys[i] != hub:
-                    hub, own = keys[i], None
-                if not leaf[i]:
-                    own = s
-                elif own is not None:
-                    both = len(np.intersect1d(own, s, assume_unique=True))
-                    if both >= need(len(own), len(s), t):
-                        hit.append(i)
-            yield pa.record_batch({n: c[hit] for n, c in zip(LINE, line)})
+        table = BitTable(wanted.value)
+        for batch in batches:
+            for doc, at, first, size, words, _ in line_sets(batch, rarity.value, least):
+                prefix = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
+                line = np.repeat(np.arange(len(doc)), prefix)
+                word = words[first[line] + np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)].view(np.int64)
+                ok = table.has(word)
+                line, word = line[ok], word[ok]
+                for lo, hi in textnum.slices(np.concatenate([[0], np.cumsum(size[line])]), 1 << 18):
+                    part = line[lo:hi]
+                    yield pa.record_batch({"word": word[lo:hi], "doc": doc[part], "at": at[part], "words": _binary(words, first[part], size[part])})
+        trim()
 
     return run
 
 
-def _matched(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """Lines x of the pairs whose Jaccard with y reaches t; a set travels once per line that it is compared with."""
-    y, x = [f"y_{n}" for n in LINE], [f"x_{n}" for n in LINE]
-    hubs = pairs.groupBy(*y).agg(F.ceil(F.count("*") / 5000).cast("int").alias("parts"))
-    cut = pairs.join(hubs, y).withColumn("part", F.pmod(F.xxhash64(*x), "parts").cast("int"))
-    ends = cut.select(*y, "part", F.lit(1).alias("leaf"), *[F.col(f"x_{n}").alias(n) for n in LINE]).union(
-        cut.select(*y, "part", F.lit(0).alias("leaf"), *[F.col(n) for n in y]).distinct()
+def _compare_all(t: float):
+    """Open lines of each (word, cell) that match an earlier line of it; rows are (word, cell, doc, at, open, words) and sorted."""
+    schema = pa.schema([("doc", pa.int64()), ("at", pa.int64())])
+
+    def fn(table: pa.Table) -> pa.Table:
+        raw, off = textnum.string_buffers(table["words"])
+        codes, off = _coded(raw, off)
+        size = np.diff(off)
+        words = raw.view(U64)
+        set1, _, parity, wide = sketches(words, off[:-1], size)
+        at = table["at"].to_numpy()
+        group = np.repeat(np.arange(len(bounds := group_bounds(table, ["word", "cell"])) - 1), np.diff(bounds))
+        c = {
+            "word": group.astype(U64), "doc": table["doc"].to_numpy(), "hash": (at >> 32).astype(np.int32).view(np.uint32), "number": at.astype(np.uint32), "size": size,
+            "pos": np.zeros(len(at), np.int64), "parity": parity, "set2": set1, "set": set1,
+        }
+        c = _numbered(c)
+        order = _order(c, t)
+        c = {n: v[order] for n, v in c.items()} | {"row": order}
+        maps = {k: m for k, (_, m) in wide.items()}
+        matched = np.zeros(len(order), dtype=bool)
+        # where a line stands in its set isn't known here: the positional filter passes all with place 0
+        todo = np.flatnonzero(table["open"].to_numpy(zero_copy_only=False)[order])
+        for x, y, _, _ in candidates(c, maps, c["key"], todo, t, 1 << 62, matched):
+            hit = _matching(codes, off, c["row"][x], c["row"][y], t)
+            matched[x[hit]] = True
+        return pa.table({n: c[n][matched] for n in LINE})
+
+    return grouped(["word", "cell"], fn, schema)
+
+
+def _late_round(ws: Workspace, base: DataFrame, rarity, hard: DataFrame, hot: DataFrame, t: float, least: tuple[int, int], together: int) -> DataFrame:
+    """Lines that match any earlier line: of `hard` (word, doc, at), and all of the hot words' groups."""
+    spark = ws.spark
+    wanted = spark.sparkContext.broadcast(bit_table(hard.select("word").union(hot.select("word")), ["word"]))
+    rows = base.mapInArrow(_rescan(rarity, wanted, t, least), "word long, doc long, at long, words binary")
+    blocks = hot.select("word", F.ceil(F.col("n") / (together // 2)).cast("int").alias("blocks"))
+    rows = rows.join(hard.withColumn("hard", F.lit(True)), ["word", *LINE], "left").join(blocks, "word", "left")
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(0)))
+    mine = F.pmod(F.xxhash64(*LINE), F.greatest("blocks", F.lit(1))).cast("int")
+    cells = (
+        rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
+        .withColumn("cell", F.least("mine", "other").cast("long") * F.lit(1 << 32) + F.greatest("mine", "other"))
+        .withColumn("open", (F.col("blocks") > 0) | F.coalesce("hard", F.lit(False)))
+    )
+    return (
+        cells.select("word", "cell", *LINE, "open", "words").repartition("word", "cell").sortWithinPartitions("word", "cell")
+        .mapInArrow(_compare_all(t), "doc long, at long").distinct()
     )
-    rows = sets.join(ends, LINE).repartition(*y, "part").sortWithinPartitions(*y, "part", "leaf")
-    return rows.select(*y, "part", "leaf", *LINE, "words").mapInArrow(_verify(t), "doc long, at long").distinct()
 
 
 def text_hash(text: Column) -> Column:
     return F.hash(text)
 
 
-def removed_lines(docs: DataFrame, *, threshold: float = 0.8, min_tokens: int = 3) -> DataFrame:
-    """(doc, at) of every line that an earlier line matches: doc_id, and text hash and line number in one."""
+def removed_lines(docs: DataFrame, *, threshold: float = 0.8, min_tokens: int = 3, min_bytes: int = 64, together: int = HOT) -> DataFrame:
+    """(doc, at) of every line that an earlier line matches: doc_id, and text hash and line number in one.
+
+    Groups of more than `together` lines are compared in blocks.
+    """
     spark = docs.sparkSession
     ws = Workspace(spark, "line-dedup")
-    base = docs.select(
-        F.col("doc_id").cast("long").alias("doc"), text_hash(F.col("text").cast("string")).alias("text_hash"),
-        F.col("text").cast("string").alias("text"),
-    ).where("doc is not null and text is not null")
-    rarity = spark.sparkContext.broadcast(word_rarity(base))
+    least, t = (min_tokens, min_bytes), threshold
+    text = F.col("text").cast("string")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc"), text_hash(text).alias("text_hash"), text.alias("text")).where("doc is not null and text is not null")
+    counts = word_counts(base)
+    rarity = spark.sparkContext.broadcast(rarity_classes(counts))
+    tokens = int(counts.sum())  # a posting takes some 40 bytes, and a fifth of the words give one
+    parts = max(-(-8 * tokens // PART_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // 250_000)), 1)
     shared = ws.save(
-        base.mapInArrow(_postings(rarity, threshold, min_tokens), _POSTING).repartition("word").mapInArrow(_share(threshold), _SHARED),
+        base.mapInArrow(_postings(rarity, t, least, parts), "part int, blob binary").repartitionById(parts, F.col("part")).mapInArrow(_share(t, together), _SHARED),
         "shared",
     )
     repeated = shared.where("kind = 0").select(*LINE)
-    found = shared.where("kind in (1, 2)").select(
-        "kind", *[F.col(n).alias(f"x_{n}") for n in LINE], *[f"y_{n}" for n in LINE],
-        *[F.expr(f"cast({e} as int)").alias(f"{s}_{n}") for n, f in (("pos", "{} & 16777215"), ("size", "(shiftright({}, 24) & 16777215)"))
-          for s, e in (("x", f.format("meta")), ("y", f.format("y_meta")))],
-    )
-
-    # The earlier line that most prefix words of a line lead to is tried first.
-    votes = found.groupBy(*_names(_PAIR)).count()
-    best = Window.partitionBy(*[f"x_{n}" for n in LINE]).orderBy(F.desc("count"), *[f"y_{n}" for n in LINE])
-    votes = votes.where("count >= 2")  # pairs with fewer wait for the second round, which takes all
-    first = ws.save(votes.withColumn("k", F.row_number().over(best)).where("k = 1").select(*_names(_PAIR)), "first")
-    hits = ws.save(_matched(first, _sets(base, first, rarity, min_tokens), threshold), "hits")
-
-    # Lines without a match yet meet every earlier candidate.
-    posts = shared.where("kind in (3, 4)").select("word", *LINE, "meta", "parity", "wide", (F.col("kind") == 3).alias("more"))
-    hit = hits.withColumn("hit", F.lit(True))
-    open_posts = posts.join(hit, LINE, "left").select(
-        "word", *LINE, "meta", "parity", "wide", (F.col("more") & F.col("hit").isNull()).alias("open")
-    )
-    pairs = open_posts.repartition("word").mapInArrow(_other_pairs(threshold), _OTHER)
-    x_hits = hits.select(*[F.col(n).alias(f"x_{n}") for n in LINE])
-    known = found.where("kind = 1").select(*_names(_OTHER)).join(x_hits, [f"x_{n}" for n in LINE], "left_anti")
-    others = ws.save(_enough(pairs.union(known), threshold).join(first, _names(_PAIR), "left_anti"), "others")
-    late = ws.save(_matched(others, _sets(base, others, rarity, min_tokens), threshold), "late")
-    out = ws.save(repeated.union(hits).union(late).distinct(), "removed")
-    ws.drop(shared, first, hits, others, late)
+    found = shared.where("kind = 1")
+    pairs = found.select(*[F.col(n).alias(f"x_{n}") for n in LINE], *Y, "slack")
+    closest = pairs.groupBy(*X).agg(F.min(F.struct((-F.col("slack")).alias("far"), *Y)).alias("best"))
+    first = ws.save(closest.select(*X, *[F.col(f"best.{n}").alias(n) for n in Y]), "first")
+    hits = ws.save(_matched(first, _sets(base, first, rarity, least), t), "hits")
+
+    left = found.join(hits, LINE, "left_anti")
+    others = left.select(*[F.col(n).alias(f"x_{n}") for n in LINE], *Y).union(
+        left.select(*LINE, F.explode(F.arrays_zip("z_doc", "z_at")).alias("z")).select(*LINE, "z.z_doc", "z.z_at")
+    ).distinct().join(first, X + Y, "left_anti")
+    others = ws.save(others, "others")
+    late = ws.save(_matched(others, _sets(base, others, rarity, least), t) if not others.isEmpty() else hits.limit(0), "late")
+
+    hard = ws.save(left.where("more").select("word", *LINE).join(late, LINE, "left_anti").select("word", *LINE).distinct(), "hard")
+    hot = shared.where("kind = 3").select("word", "n")
+    out = repeated.union(hits).union(late)
+    if not (hard.isEmpty() and hot.isEmpty()):
+        out = out.union(_late_round(ws, base, rarity, hard, hot, t, least, together))
+    out = ws.save(out.distinct(), "removed")
+    ws.drop(shared, first, hits, others, late, hard)
     return out
 
 
-def _names(schema: str) -> list[str]:
-    return [x.split()[0] for x in schema.split(", ")]
+def _sets(base: DataFrame, pairs: DataFrame, rarity, least: tuple[int, int]) -> DataFrame:
+    """(doc, at, words) of the lines in `pairs`, once each; the bit table only saves shuffling other lines."""
+    lines = pairs.select(*X).union(pairs.select(*Y)).toDF(*LINE)
+    any_line = lines.select("doc", F.col("at").bitwiseOR(F.lit(ANY)).alias("at"))
+    wanted = base.sparkSession.sparkContext.broadcast(bit_table(lines.union(any_line), LINE))
+    return base.mapInArrow(_sets_of(rarity, wanted, least), "doc long, at long, words binary").repartition(*LINE).dropDuplicates(LINE)
 
 
-def _sets(base: DataFrame, pairs: DataFrame, rarity, min_tokens: int, bits: int = 24) -> DataFrame:
-    wanted = base.sparkSession.sparkContext.broadcast(_wanted(pairs.select(*_names(_PAIR)), bits))
-    return base.mapInArrow(_sets_of(rarity, wanted, bits, min_tokens), "doc long, at long, words binary").distinct()
-
-
-def _touched(shared, bits: int):
+def _touched(shared):
     """Whether a document may have lost lines; wrong at times for one that hasn't, never for one that has."""
 
     @F.arrow_udf("boolean")
-    def run(doc: pa.Array, text_hash: pa.Array) -> pa.Array:
-        d, h = (x.fill_null(0).to_numpy(zero_copy_only=False) for x in (doc, text_hash))
-        return pa.array(shared.value[_line_bit(d, h, bits)])
+    def run(doc: pa.Array, hashed: pa.Array) -> pa.Array:
+        d, h = (x.fill_null(0).to_numpy(zero_copy_only=False) for x in (doc, hashed))
+        return pa.array(BitTable(shared.value).has(d, h))
 
     return run
 
 
-def drop_repeated_lines(docs: DataFrame, *, threshold: float = 0.8, min_tokens: int = 3, count: str | None = None) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, *, count: str | None = None, **options) -> DataFrame:
     """`docs` with the text of the lines that stay; `count` names an extra column for the number of lines removed.
 
-    Only documents that may have lost lines are shuffled.
+    Only documents that may have lost lines are shuffled.  Options: those of
+    `removed_lines`.
     """
-    gone = removed_lines(docs, threshold=threshold, min_tokens=min_tokens)
-    gone = gone.select(F.col("doc").alias("__gm_doc"), F.expr("cast(at >> 32 as int)").alias("__gm_hash"), F.expr("cast(at & 4294967295 as int)").alias("__gm_line"))
-    lists = gone.groupBy("__gm_doc", "__gm_hash").agg(F.collect_set("__gm_line").alias("__gm_gone"))
-    bits = 22
-    shared = docs.sparkSession.sparkContext.broadcast(_wanted(gone.select("__gm_doc", F.col("__gm_hash").cast("long")).distinct(), bits))
-    text = F.col("text").cast("string")
-    key, hashed = F.col("doc_id").cast("long"), F.when(text.isNotNull(), text_hash(text))
-    keyed = docs.withColumn("__gm_key", key).withColumn("__gm_text_hash", hashed)
-    touched = _touched(shared, bits)(F.col("__gm_key"), F.col("__gm_text_hash").cast("long"))
-    both = keyed.where(touched).join(lists, (F.col("__gm_key") == F.col("__gm_doc")) & (F.col("__gm_text_hash") == F.col("__gm_hash")), "left")
-    kept = F.array_join(
-        F.filter(F.split(text, "\n", -1), lambda s, i: ~F.array_contains(F.col("__gm_gone"), i)), "\n"
+    gone = removed_lines(docs, **options)
+    doc, hashed, lines, key, key_hash, split = free_names([*docs.columns, count or ""], "doc", "hash", "lines", "key", "key_hash", "split")
+    lists = gone.groupBy(F.col("doc").alias(doc), F.expr("cast(at >> 32 as int)").alias(hashed)).agg(
+        F.collect_set(F.expr("cast(at & 4294967295 as int)")).alias(lines)
     )
-    cols = [
-        F.when(F.col("__gm_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`")
-        for c in docs.columns
-    ]
-    extra = [F.coalesce(F.size("__gm_gone"), F.lit(0)).alias(count)] if count else []
-    rest = keyed.where(~touched).select(*[F.col(f"`{c}`") for c in docs.columns], *([F.lit(0).alias(count)] if count else []))
+    touched_docs = gone.select("doc", F.expr("at >> 32").alias("hash")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(touched_docs, ["doc", "hash"]))
+    text = F.col("text").cast("string")
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(key_hash, F.when(text.isNotNull(), text_hash(text)))
+    touched = _touched(shared)(F.col(key), F.col(key_hash).cast("long"))
+    both = keyed.where(touched).join(lists, (F.col(key) == F.col(doc)) & (F.col(key_hash) == F.col(hashed)), "left")
+    both = both.withColumn(split, F.when(F.col(lines).isNotNull(), F.split(text, "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(lines))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(F.col(split), i)), "\n")
+    names = [c for c in docs.columns if c != count]
+    cols = [F.when(F.col(lines).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in names]
+    extra = [F.coalesce(F.size(lines), F.lit(0)).alias(count)] if count else []
+    rest = keyed.where(~touched).select(*[F.col(f"`{c}`") for c in names], *([F.lit(0).alias(count)] if count else []))
     return both.select(*cols, *extra).union(rest)

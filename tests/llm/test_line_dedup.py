@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmill.llm import line_dedup
 
@@ -62,16 +63,45 @@ def test_many_copies_go_through_the_second_round(spark):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_groups_in_blocks(spark, seed):
+    """Groups above the size of one task are compared block by block."""
+    rows = corpus(seed, 200)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r[0]: r[1] for r in line_dedup.drop_repeated_lines(df, together=6).collect()}
+    assert got == brute(rows)
+
+
+def test_short_lines_that_share_a_word_stay(spark):
+    """Distinct lines whose Jaccard is at most one half, all in the group of one word."""
+    rows = [(i, "\n".join(f"common q{i}x q{j}x" for j in range(i))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert line_dedup.removed_lines(df).count() == 0
+
+
+def test_long_lines_of_few_words_go_too(spark):
+    word = "字" * 40
+    rows = [(1, word), (2, word + "\n---\n---"), (3, "一二")]
+    got = {r[0]: r[1] for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: word, 2: "---\n---", 3: "一二"}
+
+
 def test_defined_results(spark):
     long = " ".join(f"z{i}" for i in range(30000))
     rows = [
         (None, "a b c d", 1), (1, None, 2), (2, "", 3), (3, "a b c d\nx", 4), (4, "A, b. C d\ny", 5), (4, "A, b. C d\ny", 5),
         (5, "a b c d", None), (6, long, 7), (7, long + "\nnew one here", 8), (8, "one two\none two", 9),
     ]
-    df = spark.createDataFrame(rows, "doc_id long, text string, __gm_key int")
-    out = line_dedup.drop_repeated_lines(df.withColumnRenamed("__gm_key", "count"), count="gone")
-    assert out.columns == ["doc_id", "text", "count", "gone"]
-    got = sorted(map(tuple, out.collect()), key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string, x int")
+    clash = ["count", "gm_key", "gm_lines", "__gm_gone", "doc", "at", "hash"]
+    for c in clash:
+        df = df.withColumn(c, F.col("x"))
+    out = line_dedup.drop_repeated_lines(df, count="gone")
+    assert out.columns == ["doc_id", "text", "x", *clash, "gone"]
+    assert out.where("not (x <=> count and x <=> gm_key and x <=> gm_lines and x <=> __gm_gone and x <=> doc and x <=> at and x <=> hash)").count() == 0
+    got = sorted(map(tuple, out.select("doc_id", "text", "x", "gone").collect()), key=str)
+    replaced = line_dedup.drop_repeated_lines(df, count="count")
+    assert sorted(replaced.columns) == sorted(["doc_id", "text", "x", *clash]) and replaced.agg(F.sum("count")).first()[0] == 4
     want = [
         (None, "a b c d", 1, 0), (1, None, 2, 0), (2, "", 3, 0), (3, "a b c d\nx", 4, 0), (4, "y", 5, 1), (4, "y", 5, 1),
         (5, "", None, 1), (6, long, 7, 0), (7, "new one here", 8, 1), (8, "one two\none two", 9, 0),
