@@ -1,9 +1,11 @@
 """Operator 3: media columns.
 
 A payload is stored once, under the SHA-256 digest of its bytes, as a member of
-a tar shard; the shard follows from the digest.  Rows carry the digest, the
-shard, and the offset and length of the member's bytes, so any payload can be
-read by one range request.  Metadata columns are filled by reading each member
+a tar shard.  Rows carry the digest, the shard, and the offset and length of the
+member's bytes, so any payload can be read by one range request.  Only the
+digests are shuffled to find repeated payloads: a payload that occurs once is
+written by the task that reads it, and the others once for all, after each task
+has sent its first copy.  Metadata columns are filled by reading each member
 from its start until the values are found: one short range as a rule, more
 where they stand further on, all of it only where one of them is missing.
 
@@ -40,13 +42,15 @@ import tarfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from glyphmill.llm.common import Workspace
+from glyphmill.llm.common import BitTable, Workspace, bit_table, free_names
 
 HEADER_BYTES = 2048
 BLOCK_BYTES = 1 << 17  # of plain text, the most in a zstd block
@@ -162,23 +166,14 @@ def _store(payload: bytes) -> tuple[str, bytes]:
     return "identity", payload
 
 
-def _digest_and_store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each payload once for a task, with its digest; the shuffle drops what other tasks also have."""
-    seen: set[bytes] = set()
+def _key(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for x in batch.column(0):
-            payload = x.as_buffer().to_pybytes()
-            digest = hashlib.sha256(payload).digest()
-            if digest not in seen:
-                seen.add(digest)
-                encoding, stored = _store(payload)
-                rows.append((digest, len(payload), encoding, stored))
-        cols = list(zip(*rows)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.binary())],
-            names=["digest", "size", "encoding", "stored"],
-        )
+        keys = [_key(hashlib.sha256(x.as_buffer()).digest()) for x in batch.column(0)]
+        yield pa.record_batch({"key": pa.array(keys, pa.int64())})
 
 
 def _member(digest: bytes, encoding: str, size: int) -> bytes:
@@ -187,36 +182,86 @@ def _member(digest: bytes, encoding: str, size: int) -> bytes:
     return info.tobuf(tarfile.GNU_FORMAT)
 
 
-def _write_shards(folder: str):
+class _Shards:
+    """The tar shards that one task writes."""
+
+    def __init__(self, folder: str, shard_bytes: int):
+        self.fs, self.root = pa.fs.FileSystem.from_uri(folder)
+        self.most, self.out, self.name, self.at = shard_bytes, None, None, 0
+
+    def add(self, digest: bytes, size: int, encoding: str, stored: bytes) -> tuple:
+        """Appends a member and returns its place."""
+        if self.out and self.at + _RECORD + len(stored) > self.most:
+            self.close()
+        if not self.out:
+            self.name, self.at = f"shard-{uuid.uuid4().hex}.tar", 0
+            self.out = self.fs.open_output_stream(f"{self.root}/{self.name}")
+        gap = -len(stored) % _RECORD
+        for part in (_member(digest, encoding, len(stored)), stored, bytes(gap)):
+            self.out.write(part)
+        place = (digest, self.name, self.at + _RECORD, len(stored), size, encoding)
+        self.at += _RECORD + len(stored) + gap
+        return place
+
+    def close(self) -> None:
+        if self.out:
+            self.out.write(bytes(2 * _RECORD))
+            self.out.close()
+            self.out = None
+
+
+_PLACE_KINDS = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+
+
+def _columns(rows: list[tuple], kinds: list[pa.DataType]) -> list[pa.Array]:
+    return [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)]
+
+
+def _place(folder: str, shard_bytes: int, wanted, names: list[str], stored_name: str):
+    """Stores each payload that surely occurs once; others get a digest, and their bytes once for a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pa.fs.FileSystem.from_uri(folder)
-        out, name, at, shard, last = None, None, 0, None, None
+        shards, table, seen = _Shards(folder, shard_bytes), BitTable(wanted.value), set()
+        try:
+            for batch in batches:
+                digests = [hashlib.sha256(x.as_buffer()).digest() if x.is_valid else None for x in batch.column(0)]
+                again = table.has(np.array([_key(d) if d else 0 for d in digests], dtype=np.int64))
+                rows = []
+                for x, digest, repeated in zip(batch.column(0), digests, again):
+                    if digest is None:
+                        rows.append((None,) * 7)
+                    elif repeated and digest in seen:
+                        rows.append((digest, *(None,) * 6))
+                    else:
+                        payload = x.as_buffer().to_pybytes()
+                        encoding, stored = _store(payload)
+                        if repeated:
+                            seen.add(digest)
+                            rows.append((digest, None, None, None, len(payload), encoding, stored))
+                        else:
+                            rows.append((*shards.add(digest, len(payload), encoding, stored), None))
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *_columns(rows, [*_PLACE_KINDS, pa.binary()])], names=[*names, *PLACE, stored_name])
+        finally:
+            shards.close()
+
+    return run
+
+
+def _write_shards(folder: str, shard_bytes: int):
+    """Stores each of the payloads that are sorted by digest once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, last = _Shards(folder, shard_bytes), None
         try:
             for batch in batches:
                 rows = []
-                for number, digest, size, encoding, stored in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                    if number != shard:
-                        if out:
-                            out.write(bytes(2 * _RECORD))
-                            out.close()
-                        shard, at = number, 0
-                        name = f"shard-{number:06d}-{uuid.uuid4().hex[:8]}.tar"
-                        out = fs.open_output_stream(f"{root}/{name}")
-                    if digest == last:
-                        continue
-                    last = digest
-                    out.write(_member(digest, encoding, len(stored)))
-                    out.write(stored)
-                    out.write(bytes(-len(stored) % _RECORD))
-                    rows.append((digest, name, at + _RECORD, len(stored), size, encoding))
-                    at += _RECORD + len(stored) + -len(stored) % _RECORD
-                cols = list(zip(*rows)) or [[]] * 6
-                kinds = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=PLACE)
+                for digest, size, encoding, stored in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                    if digest != last:
+                        rows.append(shards.add(digest, size, encoding, stored))
+                        last = digest
+                yield pa.RecordBatch.from_arrays(_columns(rows, _PLACE_KINDS), names=PLACE)
         finally:
-            if out:
-                out.write(bytes(2 * _RECORD))
-                out.close()
+            shards.close()
 
     return run
 
@@ -239,19 +284,22 @@ def _read_start(file: pa.NativeFile, offset: int, length: int, encoding: str, he
     return head
 
 
-def _read_headers(folder: str, header_bytes: int):
+def _read_headers(folder: str, header_bytes: int, names: list[str]):
+    """Adds the metadata columns to rows that have the columns of PLACE after `names`."""
+    at = len(names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(folder)
         name, file = None, None
         for batch in batches:
             found = []
-            for shard, offset, length, encoding in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5))):
+            for shard, offset, length, encoding in zip(*(batch.column(at + i).to_pylist() for i in (1, 2, 3, 5))):
                 if shard != name:
                     name, file = shard, fs.open_input_file(f"{root}/{shard}")
                 found.append(header_metadata(_read_start(file, offset, length, encoding, header_bytes)))
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             meta = [pa.array([m[n] for m in found], k) for n, k in zip(META, kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *meta], names=PLACE + META)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *meta], names=[*names, *PLACE, *META])
 
     return run
 
@@ -262,31 +310,35 @@ def store_media(
     """(`rows` with the payload column replaced by location and metadata columns, folder of the shards)."""
     spark = rows.sparkSession
     ws = Workspace(spark, "media")
-    folder = folder or ws.path("shards")
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder or ws.path("shards"))
+    hadoop = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    hadoop.mkdirs(path)
+    folder = re.sub(r"^file:/(?!/)", "file:///", hadoop.makeQualified(path).toString())
     data = F.col(f"`{payload}`").cast("binary")
-    total = rows.agg(F.sum(F.octet_length(data))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    number = F.pmod(F.conv(F.hex(F.substring("digest", 1, 6)), 16, 10).cast("long"), F.lit(shards)).cast("int")
-    stored = rows.select(data.alias("payload")).where("payload is not null").mapInArrow(
-        _digest_and_store, "digest binary, size long, encoding string, stored binary"
-    )
-    places = ws.save(
-        stored.withColumn("number", number).repartition("number").sortWithinPartitions("number", "digest")
-        .select("number", "digest", "size", "encoding", "stored").mapInArrow(_write_shards(folder), _PLACE_TYPE),
-        "places",
-    )
-    described = ws.save(
-        places.repartition("shard").sortWithinPartitions("shard", "offset").select(*PLACE)
-        .mapInArrow(_read_headers(folder, header_bytes), f"{_PLACE_TYPE}, {_META_TYPE}"),
-        "described",
-    )
     names = [c for c in rows.columns if c != payload and c not in PLACE + META]
-    keyed = rows.select(*[F.col(f"`{c}`") for c in names], F.unhex(F.sha2(data, 256)).alias("__gm_digest"))
-    out = keyed.join(described, F.col("__gm_digest") == F.col("digest"), "left").drop("__gm_digest")
-    return out, folder
+    others = [F.col(f"`{c}`") for c in names]
+    stored_name, data_name = free_names([*names, *PLACE], "stored", "payload")
+
+    # Keys of the payloads that occur more than once; a payload that isn't among them is written where it is read.
+    keys = rows.select(data.alias("payload")).where("payload is not null").mapInArrow(_keys, "key long")
+    again = spark.sparkContext.broadcast(bit_table(keys.groupBy("key").count().where("count > 1"), ["key"]))
+    source = rows.select(data.alias(data_name), *others)
+    kind = T.StructType([source.schema[c] for c in names])
+    place = T._parse_datatype_string(_PLACE_TYPE)
+    full = T.StructType([*kind.fields, *place.fields, T.StructField(stored_name, T.BinaryType())])
+    placed = ws.save(source.mapInArrow(_place(folder, shard_bytes, again, names, stored_name), full), "placed")
+    with_meta = T.StructType([*kind.fields, *place.fields, *T._parse_datatype_string(_META_TYPE).fields])
+    direct = placed.where("shard is not null").select(*others, *PLACE).mapInArrow(_read_headers(folder, header_bytes, names), with_meta)
+
+    repeated = (
+        placed.where(F.col(stored_name).isNotNull()).select("digest", "size", "encoding", stored_name).repartition("digest").sortWithinPartitions("digest")
+        .mapInArrow(_write_shards(folder, shard_bytes), _PLACE_TYPE)
+    )
+    described = ws.save(ws.save(repeated, "repeated").mapInArrow(_read_headers(folder, header_bytes, []), f"{_PLACE_TYPE}, {_META_TYPE}"), "described")
+    found = described.select([F.col(c).alias(f"{data_name}_{c}") for c in PLACE + META])
+    rest = placed.where("shard is null").join(found, F.col("digest") == F.col(f"{data_name}_digest"), "left")
+    rest = rest.select(*others, *[F.col(f"{data_name}_{c}").alias(c) for c in PLACE + META])
+    return direct.union(rest), folder
 
 
 def read_payloads(media: DataFrame, folder: str, *, column: str = "payload") -> DataFrame:

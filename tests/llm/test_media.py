@@ -64,3 +64,48 @@ def test_a_large_page_is_not_read_whole():
     file = Ranges(stored)
     media._read_start(file, 0, len(stored), encoding, media.HEADER_BYTES)
     assert file.read == media.HEADER_BYTES < len(stored) / 20
+
+
+def test_repeats_nulls_and_clashing_names(spark):
+    rng = random.Random(2)
+    once = [page(50, seed=i).encode() for i in range(40)]
+    rows = [(i, once[i]) for i in range(40)] + [(100 + i, once[0]) for i in range(30)] + [(200 + i, b"") for i in range(5)] + [(300, None), (301, None), (None, once[1])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(a, b, a, a, a) for a, b in rows], "id int, html binary, gm_stored int, title int, gm_payload int").repartition(5)
+    out, folder = media.store_media(df, "html", shard_bytes=3000)
+    assert out.columns == ["id", "gm_stored", "gm_payload", *media.PLACE, *media.META]
+    got = out.collect()
+    assert len(got) == len(rows) and all(r["id"] == r["gm_stored"] == r["gm_payload"] for r in got)
+    members = {}
+    for r in got:
+        if r["digest"] is not None:
+            members.setdefault(bytes(r["digest"]), set()).add((r["shard"], r["offset"], r["length"]))
+    assert len(members) == 41 and all(len(m) == 1 for m in members.values())
+    assert [r["media_type"] for r in got if r["id"] is not None and 200 <= r["id"] < 300] == ["application/x-empty"] * 5
+    assert all(r[c] is None for r in got if r["id"] in (300, 301) for c in media.PLACE + media.META)
+    back = {(r["id"], None if r["payload"] is None else bytes(r["payload"])) for r in media.read_payloads(out, folder).select("id", "payload").collect()}
+    assert back == set(rows)
+    assert media.remove_unnamed(out, folder) == 0
+
+
+def test_shards_are_tar_files_with_each_payload_once(spark):
+    import glob
+    import hashlib
+    import tarfile
+
+    given = [page(30, seed=i % 7).encode() for i in range(20)]
+    out, folder = media.store_media(spark.createDataFrame([(p,) for p in given], "p binary").repartition(3), "p")
+    out.collect()
+    found = {}
+    for name in glob.glob(folder.removeprefix("file://") + "/*.tar"):
+        with tarfile.open(name) as tar:
+            for m in tar:
+                data = zstandard.ZstdDecompressor().decompressobj().decompress(tar.extractfile(m).read())
+                assert m.name.removesuffix(".zst") == hashlib.sha256(data).hexdigest() and m.name not in found
+                found[m.name] = data
+    assert sorted(found.values()) == sorted(set(given))
+
+
+def test_empty_table(spark):
+    out, folder = media.store_media(spark.createDataFrame([], "id int, p binary"), "p")
+    assert out.count() == 0 and out.columns == ["id", *media.PLACE, *media.META]
