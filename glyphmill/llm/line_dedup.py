@@ -66,7 +66,7 @@ PART_BYTES = 16 << 20  # of postings in a partition
 HOLD = 1 << 20  # postings of a partition before repeats are dropped from memory
 HOT = 1 << 15  # lines of a group that are compared in one task
 CHUNK = 1 << 16  # postings that are worked on at once; a larger group stands alone
-MOST = 4  # candidates of a line that a group keeps
+MOST = 16  # candidates of a line that a group keeps
 GONE = 0xFFFFFFFF  # place of a posting that stands for a line removed already
 
 _FOLD = np.arange(256, dtype=np.uint8)
