@@ -24,12 +24,14 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+import tiktoken
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,6 +112,7 @@ class Codec:
         self.vocabulary: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.vocabulary[rank] = token
+        self.strings = {rank: token for token, rank in self.ranks.items()}
         self.lengths = np.array([len(t) for t in self.vocabulary], dtype=np.int64)
         self.pieces = regex.compile(pattern).findall
         self.known = _Remembered(self.ranks)
@@ -124,7 +127,11 @@ class Codec:
         return np.frombuffer(self.encode_bytes(text), dtype=np.int32).tolist()
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.vocabulary.__getitem__, ids)).decode("utf-8", errors="replace")
+        """The text of `ids`; an id that the vocabulary doesn't have, or null, raises an error."""
+        try:
+            return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", errors="replace")
+        except KeyError as e:
+            raise ValueError(f"the vocabulary has no token {e.args[0]}") from None
 
     def encode_column(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(token ids of all rows, row offsets)."""
@@ -146,6 +153,19 @@ def codec(raw: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
+_compiled: dict[tuple[int, str], Callable[[str], np.ndarray]] = {}
+
+
+def compiled(raw: bytes, pattern: str) -> Callable[[str], np.ndarray]:
+    """The token ids that `Codec` gives, by a compiled library: for operators that count or cut tokens."""
+    key = (hash(raw), pattern)
+    if key not in _compiled:
+        _compiled.clear()
+        encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=parse_ranks(raw), special_tokens={})
+        _compiled[key] = partial(encoding.encode_to_numpy, disallowed_special=())
+    return _compiled[key]
+
+
 def read_vocabulary(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -203,7 +223,7 @@ def decode(
 ) -> DataFrame:
     """`encoded` with its token ids replaced by the decoded text; a null list gives a null text.
 
-    Ids outside the vocabulary raise an error; bytes that aren't UTF-8, as in a
+    Ids outside the vocabulary, and nulls within a list, raise an error; bytes that aren't UTF-8, as in a
     list cut inside a character, become replacement characters.
     """
     names = [c for c in encoded.columns if c not in (ids, text)]
@@ -221,7 +241,3 @@ def decode(
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string())], names=[*names, text])
 
     return source.mapInArrow(run, schema)
-
-
-def token_count_column(encoded: Column) -> Column:
-    return F.coalesce(F.size(encoded), F.lit(0))

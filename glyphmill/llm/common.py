@@ -9,10 +9,11 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm.textnum import U64, mix
@@ -252,3 +253,20 @@ def bit_table(keys: DataFrame, columns: list[str]) -> np.ndarray:
     for r in keys.mapInArrow(mark, kind).repartition("piece").mapInArrow(either, kind).collect():
         table[r["piece"]] = np.frombuffer(r["bits"], dtype=np.uint8)
     return table.reshape(-1)
+
+
+def may_have(keys: DataFrame, *columns: Column) -> Column:
+    """Whether the long `columns`, none of them null, may be a row of `keys`: false hits only; false for nulls."""
+    names = keys.columns
+    shared = keys.sparkSession.sparkContext.broadcast(bit_table(keys, names))
+
+    @F.arrow_udf("boolean")
+    def run(first: pa.Array, second: pa.Array) -> pa.Array:
+        cols = [c.fill_null(0).to_numpy(zero_copy_only=False) for c in (first, second)[: len(names)]]
+        return pa.array(BitTable(shared.value).has(*cols))
+
+    return F.coalesce(F.when(~_any_null(columns), run(columns[0], columns[-1])), F.lit(False))
+
+
+def _any_null(columns: tuple[Column, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [c.isNull() for c in columns])

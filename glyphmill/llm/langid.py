@@ -11,7 +11,14 @@ labelled rows, of which a part is held out for calibration:
   never more than 0.5 (what is more likely right than wrong isn't rejected)
   and never under 1.5 times the probability of a blind guess;
 * or if too few of its subwords were seen in training: under half the
-  `max_loss` quantile of the held-out shares.
+  `max_loss` quantile of the held-out shares;
+* or if its subwords aren't those of the language found: the mean logarithm of
+  their frequencies in the training texts of that language is compared with the
+  held-out texts' median; texts of under FULL subwords may lie further off.
+  The bound is the `max_loss` quantile of the held-out values, times `SLACK`, but
+  never above `USUAL`.
+  That is what rejects other languages and code, which a softmax over the known
+  labels can't.
 
 Because the model is linear after the average, each bucket's class scores are
 computed once; classifying is a table lookup and a sum, over whole texts.
@@ -48,6 +55,11 @@ BITS = 18
 BUCKETS = 1 << BITS
 SIZES = (2, 3, 4)
 SLICE = 1 << 18
+#: Subwords beyond which a longer text doesn't scatter less.
+FULL = 50
+SLACK = 1.1
+#: Subwords that are on average e**3 times as rare as in usual texts, or less, are never a reason to reject.
+USUAL = -3.0
 #: Bound of the training sample, in rows for each label.
 ROWS_PER_LABEL = 600
 
@@ -63,6 +75,8 @@ class Model:
     known: np.ndarray  # buckets seen in training
     least_probability: float
     least_known: float
+    typical: np.ndarray  # (labels, BUCKETS): log frequency of each subword in a label's training texts, less the label's held-out mean
+    least_typical: float
     held_out_accuracy: float
 
 
@@ -142,7 +156,7 @@ def fit(
     nth = labelled.select("label", "order").distinct().selectExpr("label", "order", "row_number() over (partition by label order by order) as n")
     cut = nth.where(F.col("n") <= rows_per_label).groupBy("label").agg(F.max("order").alias("cut")).collect()
     if not cut:
-        return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.float32), np.zeros(BUCKETS, bool), 0.5, 0.0, 0.0)
+        return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.float32), np.zeros(BUCKETS, bool), 0.5, 0.0, np.zeros((0, BUCKETS), np.float32), 0.0, 0.0)
     limits = F.create_map(*[F.lit(x) for r in cut for x in (r["label"], r["cut"])])
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,10 +179,12 @@ def fit(
     sample = sample.sort_by([("order", "ascending"), ("label", "ascending")])
     labels = sorted(r["label"] for r in cut)
     y = np.array([labels.index(x) for x in sample["label"].to_pylist()])
-    bags = []
+    bags, sizes = [], []
     for k, n in zip(sample["k"], sample["n"]):
         n = n.values.to_numpy().astype(np.float32)
+        sizes.append(n.sum())
         bags.append((k.values.to_numpy(), n / max(n.sum(), 1)))
+    sizes = np.array(sizes)
     full = [i for i, b in enumerate(bags) if len(b[0])]
     held = np.array([i for i in full if i % round(1 / held_out) == 0], dtype=int)
     train = np.array([i for i in full if i % round(1 / held_out)], dtype=int)
@@ -185,16 +201,30 @@ def fit(
     def loss(t: float) -> float:
         return float(-np.log(probabilities(t)[np.arange(len(held)), y[held]] + 1e-12).mean())
 
+    typical = np.full((len(labels), BUCKETS), 0.5)
+    for i in train:
+        typical[y[i], bags[i][0]] += bags[i][1] * sizes[i]
+    typical = np.log(typical / typical.sum(axis=1, keepdims=True))
+    fit_of = np.array([float(bags[i][1] @ typical[y[i], bags[i][0]]) for i in held])
+    for c in range(len(labels)):
+        typical[c] -= np.median(fit_of[y[held] == c]) if (y[held] == c).any() else np.median(fit_of)
+    spread = np.array([float(bags[i][1] @ typical[y[i], bags[i][0]]) for i in held]) * scatter(sizes[held])
+
     temperature = min(np.geomspace(0.1, 10, 60), key=loss)
     p = probabilities(temperature)
     true = p[np.arange(len(held)), y[held]]
     return Model(
         labels, (w @ e.T / temperature).astype(np.float32), (bias / temperature).astype(np.float32), known,
         float(min(0.5, max(1.5 / len(labels), np.quantile(true, max_loss)))), float(0.5 * np.quantile(seen, max_loss)),
+        typical.astype(np.float32), float(min(USUAL, SLACK * np.quantile(spread, max_loss))),
         float((p.argmax(axis=1) == y[held]).mean()),
     )
 
 
+def scatter(size: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.minimum(size, FULL) / FULL)
+
+
 def classify(model: Model, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(label number or -1, probability, accepted) of each row."""
     n, c = len(off) - 1, len(model.labels)
@@ -212,9 +242,10 @@ def classify(model: Model, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray
         p /= p.sum(axis=1, keepdims=True)
         top = p.argmax(axis=1)
         has = count > 0
+        fit_of = np.bincount(r, weights=model.typical[top[r], h], minlength=m) / np.maximum(count, 1) * scatter(count)
         best[lo:hi] = np.where(has, top, -1)
         prob[lo:hi] = np.where(has, p[np.arange(m), top], 0)
-        ok[lo:hi] = has & (prob[lo:hi] >= model.least_probability) & (seen >= model.least_known)
+        ok[lo:hi] = has & (prob[lo:hi] >= model.least_probability) & (seen >= model.least_known) & (fit_of >= model.least_typical)
     return best, prob, ok
 
 

@@ -53,7 +53,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import textnum
-from glyphmill.llm.common import BitTable, Workspace, bit_table, free_names, grouped, group_bounds, trim
+from glyphmill.llm.common import BitTable, Workspace, bit_table, free_names, group_bounds, grouped, may_have, trim
 
 U64 = np.uint64
 CELLS = 1 << 20  # of the hashed word counts: 1 MB of classes, whatever the data
@@ -130,13 +130,21 @@ def _pieces(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int]]:
                 yield r, r + 1
 
 
-def line_sets(batch: pa.RecordBatch, rarity: np.ndarray, least: tuple[int, int]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Lines that take part, per piece of a (doc, text_hash, text) batch: doc, at, first word and size of each set; words, classes."""
+def line_sets(batch: pa.RecordBatch, rarity: np.ndarray, least: tuple[int, int], wanted=None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Lines that take part, per piece of a (doc, text_hash, text) batch: doc, at, first word and size of each set; words, classes.
+
+    With `wanted`, only lines with a word that it picks.
+    """
     docs = batch.column(0).to_numpy(zero_copy_only=False)
     hashes = batch.column(1).to_numpy(zero_copy_only=False)
     buf, off = textnum.string_buffers(batch.column(2))
     for lo, hi in _pieces(buf, off):
         row, number, size_bytes, line, h = line_words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        if wanted is not None:
+            keep = np.zeros(len(row), dtype=bool)
+            keep[line[wanted(h)]] = True
+            keep = keep[line]
+            line, h = line[keep], h[keep]
         for base in range(0, len(row), MAX_LINES):  # a row with very many lines
             a, b = np.searchsorted(line, [base, base + MAX_LINES])
             ln, words, classes = ordered_sets(line[a:b] - base, h[a:b], rarity)
@@ -593,32 +601,46 @@ ANY = GONE  # in place of a line's number: any line of the document
 
 
 def _verify(t: float):
-    """Rows are (hub's doc, at and part, leaf, line, words): a hub's own set before the lines compared with it."""
-
-    def run(batches):
-        last: pa.RecordBatch | None = None
-        for batch in batches:
-            t_ = pa.Table.from_batches([b for b in (last, batch) if b is not None]).combine_chunks()
-            leaf = t_["leaf"].to_numpy().astype(bool)
-            hub = np.maximum.accumulate(np.where(leaf, 0, np.arange(len(leaf))))
-            codes, off = _coded(*textnum.string_buffers(t_["words"]))
-            x = np.flatnonzero(leaf)
-            hit = x[_matching(codes, off, x, hub[x], t)]
-            last = t_.slice(int(hub[-1]), 1).combine_chunks().to_batches()[0]
-            yield pa.record_batch({n: t_[n].to_numpy()[hit] for n in LINE})
+    """Lines x that match y; rows are (hub, part, doc, at, words) of sets and (hub, part, doc, at, y_doc, y_at) of pairs, by hub and part."""
+    schema = pa.schema([("doc", pa.int64()), ("at", pa.int64())])
 
-    return run
+    def fn(table: pa.Table) -> pa.Table:
+        group = np.zeros(table.num_rows, np.int64)
+        group[group_bounds(table, ["hub", "part"])[1:-1]] = 1
+        group = np.cumsum(group)
+        is_set = table["words"].is_valid().to_numpy()
+        sets, pairs = np.flatnonzero(is_set), np.flatnonzero(~is_set)
+        doc, at = table["doc"].to_numpy(), table["at"].to_numpy()
+        codes, off = _coded(*textnum.string_buffers(table["words"].take(pa.array(sets))))
+
+        def find(d: np.ndarray, a: np.ndarray) -> np.ndarray:
+            """The number of the set of each pair's line."""
+            both = (np.concatenate([v[0][sets], v[1]]) for v in ((group, group[pairs]), (doc, d), (at, a)))
+            g, d, a = both
+            order = np.lexsort((np.arange(len(g)) >= len(sets), a, d, g))
+            new = _new(g[order], d[order], a[order])
+            lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            out = np.empty(len(order), np.int64)
+            out[order] = lead
+            return out[len(sets) :]
+
+        pick = table.select(["y_doc", "y_at"]).take(pa.array(pairs))
+        x, y = find(doc[pairs], at[pairs]), find(pick["y_doc"].to_numpy(), pick["y_at"].to_numpy())
+        hit = pairs[_matching(codes, off, x, y, t)]
+        return pa.table({"doc": doc[hit], "at": at[hit]})
+
+    return grouped(["hub", "part"], fn, schema)
 
 
 def _matched(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """Lines x of the pairs whose Jaccard with y reaches t; a set travels once per line that it is compared with."""
-    hubs = pairs.groupBy(*Y).agg(F.ceil(F.count("*") / 5000).cast("int").alias("parts"))
-    cut = pairs.join(hubs, Y).withColumn("part", F.pmod(F.xxhash64(*X), "parts").cast("int"))
-    ends = cut.select(*Y, "part", F.lit(1).alias("leaf"), *[F.col(f"x_{n}").alias(n) for n in LINE]).union(
-        cut.select(*Y, "part", F.lit(0).alias("leaf"), *[F.col(f"y_{n}").alias(n) for n in LINE]).distinct()
-    )
-    rows = sets.join(ends, LINE).repartition(*Y, "part").sortWithinPartitions(*Y, "part", "leaf")
-    return rows.select(*Y, "part", "leaf", *LINE, "words").mapInArrow(_verify(t), "doc long, at long").distinct()
+    """Lines x of the pairs (x, y, hub) whose Jaccard with y reaches t; a set travels once for each hub of its pairs."""
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / 20000).cast("int").alias("parts"))
+    cut = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64(*X), "parts").cast("int").alias("part"), *X, *Y)
+    lines = cut.select("hub", "part", *[F.col(n).alias(m) for n, m in zip(X, LINE)]).union(cut.select("hub", "part", *Y)).distinct()
+    whole = lines.join(sets, LINE).select("hub", "part", *LINE, F.lit(None).cast("long").alias("y_doc"), F.lit(None).cast("long").alias("y_at"), "words")
+    given = cut.select("hub", "part", *[F.col(n).alias(m) for n, m in zip(X, LINE)], *Y, F.lit(None).cast("binary").alias("words"))
+    rows = whole.union(given).repartition("hub", "part").sortWithinPartitions("hub", "part")
+    return rows.mapInArrow(_verify(t), "doc long, at long").distinct()
 
 
 def _rescan(rarity, wanted, t: float, least: tuple[int, int]):
@@ -627,7 +649,7 @@ def _rescan(rarity, wanted, t: float, least: tuple[int, int]):
     def run(batches):
         table = BitTable(wanted.value)
         for batch in batches:
-            for doc, at, first, size, words, _ in line_sets(batch, rarity.value, least):
+            for doc, at, first, size, words, _ in line_sets(batch, rarity.value, least, lambda h: table.has(h.view(np.int64))):
                 prefix = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
                 line = np.repeat(np.arange(len(doc)), prefix)
                 word = words[first[line] + np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)].view(np.int64)
@@ -718,14 +740,16 @@ def removed_lines(docs: DataFrame, *, threshold: float = 0.8, min_tokens: int =
     found = shared.where("kind = 1")
     pairs = found.select(*[F.col(n).alias(f"x_{n}") for n in LINE], *Y, "slack")
     closest = pairs.groupBy(*X).agg(F.min(F.struct((-F.col("slack")).alias("far"), *Y)).alias("best"))
-    first = ws.save(closest.select(*X, *[F.col(f"best.{n}").alias(n) for n in Y]), "first")
+    first = closest.select(*X, *[F.col(f"best.{n}").alias(n) for n in Y])
+    first = ws.save(first.withColumn("hub", F.xxhash64(*Y)), "first")
     hits = ws.save(_matched(first, _sets(base, first, rarity, least), t), "hits")
 
     left = found.join(hits, LINE, "left_anti")
     others = left.select(*[F.col(n).alias(f"x_{n}") for n in LINE], *Y).union(
         left.select(*LINE, F.explode(F.arrays_zip("z_doc", "z_at")).alias("z")).select(*LINE, "z.z_doc", "z.z_at")
     ).distinct().join(first, X + Y, "left_anti")
-    others = ws.save(others, "others")
+    # lines with the same closest candidate have others in common: they are verified together
+    others = ws.save(others.join(first.select(*X, "hub"), X), "others")
     late = ws.save(_matched(others, _sets(base, others, rarity, least), t) if not others.isEmpty() else hits.limit(0), "late")
 
     hard = ws.save(left.where("more").select("word", *LINE).join(late, LINE, "left_anti").select("word", *LINE).distinct(), "hard")
@@ -746,17 +770,6 @@ def _sets(base: DataFrame, pairs: DataFrame, rarity, least: tuple[int, int]) ->
     return base.mapInArrow(_sets_of(rarity, wanted, least), "doc long, at long, words binary").repartition(*LINE).dropDuplicates(LINE)
 
 
-def _touched(shared):
-    """Whether a document may have lost lines; wrong at times for one that hasn't, never for one that has."""
-
-    @F.arrow_udf("boolean")
-    def run(doc: pa.Array, hashed: pa.Array) -> pa.Array:
-        d, h = (x.fill_null(0).to_numpy(zero_copy_only=False) for x in (doc, hashed))
-        return pa.array(BitTable(shared.value).has(d, h))
-
-    return run
-
-
 def drop_repeated_lines(docs: DataFrame, *, count: str | None = None, **options) -> DataFrame:
     """`docs` with the text of the lines that stay; `count` names an extra column for the number of lines removed.
 
@@ -769,10 +782,9 @@ def drop_repeated_lines(docs: DataFrame, *, count: str | None = None, **options)
         F.collect_set(F.expr("cast(at & 4294967295 as int)")).alias(lines)
     )
     touched_docs = gone.select("doc", F.expr("at >> 32").alias("hash")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(bit_table(touched_docs, ["doc", "hash"]))
     text = F.col("text").cast("string")
     keyed = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(key_hash, F.when(text.isNotNull(), text_hash(text)))
-    touched = _touched(shared)(F.col(key), F.col(key_hash).cast("long"))
+    touched = may_have(touched_docs, F.col(key), F.col(key_hash).cast("long"))
     both = keyed.where(touched).join(lists, (F.col(key) == F.col(doc)) & (F.col(key_hash) == F.col(hashed)), "left")
     both = both.withColumn(split, F.when(F.col(lines).isNotNull(), F.split(text, "\n", -1)))
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(lines))

@@ -1,12 +1,11 @@
 """Operator 10: mixing sources to target weights.
 
-1. Pack: the texts of a source are cut into tokens (a run of white space with
-   the non-white run after it) and packed into blocks of a fixed number of
-   tokens; a block may hold the end of one document and the start of the next.
-   Packing runs over streams, which are the documents of a source with the same
-   hash class of doc_id, in the order of doc_id; the last block of a stream is
-   short.  The number of classes follows from the source's own tokens, so that
-   how full its blocks are doesn't depend on other sources.
+1. Pack: texts are encoded with a tokenizer's vocabulary, and the tokens of a
+   source, in the order in which its rows are read, are cut into blocks of a
+   fixed number of tokens; a block may hold the end of one document and the
+   start of the next.  Every row knows where its tokens begin by the running
+   count within its task and the count of the source's tasks before it, so that
+   only the last block of a source is short, whatever the size of the corpus.
 2. Draw: every output shard draws its source counts from a multinomial
    distribution over the target weights, seeded by the shard's number.
 3. Map: the slots of a source are numbered over all shards.  Slot j takes the
@@ -20,13 +19,14 @@ repeats all its blocks equally often, up to one.
 
 Defined results
 ---------------
-* Rows whose text is null or without tokens hold no tokens and give no blocks.
-* A null source is a source of its own; a null doc_id is packed first in its
-  stream and stays null in the result.
-* Repeated rows are packed as often as they occur; ties in doc_id are ordered
-  by a hash of the text.
-* White space at the end of a text is dropped, as are the limits of documents:
-  every piece starts with its own first token.
+* Rows whose text is null or empty hold no tokens and give no blocks.
+* A null source is a source of its own; a null doc_id stays null in the result.
+* Repeated rows are packed as often as they occur.
+* Given weights must name the sources that have tokens, all of them (0 leaves a
+  source out) and no others; anything else, and more than MOST_SOURCES sources,
+  is an error.
+* Texts of any length are packed whole.  Where `mix_documents` cuts a text inside
+  a character, that character goes to the later piece.
 * Further columns are ignored by `mix_blocks`; `mix_documents` returns them
   with each piece, whatever their names.
 * Empty table, or no tokens at all: no rows.
@@ -38,32 +38,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from glyphmill.llm import textnum
-from glyphmill.llm.common import Workspace
+from glyphmill.llm.bpe import PATTERN, VOCABULARY, broadcast_vocabulary, codec, compiled
+from glyphmill.llm.common import Workspace, trim
 
 U64 = np.uint64
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def token_starts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first byte of the non-white run, row) of every token."""
-    if not len(buf):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    w = ~SPACE[buf]
-    start = w.copy()
-    start[1:] &= ~w[:-1]
-    cut = off[1:-1]
-    cut = cut[(cut > 0) & (cut < len(buf))]
-    start[cut] = w[cut]
-    at = np.flatnonzero(start)
-    return at, np.searchsorted(off, at, side="right") - 1
+#: Weights are kept in an array on the driver and in each task.
+MOST_SOURCES = 1 << 16
+BATCH_BYTES = 4 << 20
 
 
 def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -93,79 +81,140 @@ def draw_counts(shard: int, size: int, weights: np.ndarray, seed: int) -> np.nda
 
 def target_weights(tokens: dict[str | None, int], weights: dict[str | None, float] | None, temperature: float) -> dict[str | None, float]:
     """Shares of the sources that have tokens: the given weights, or token counts to the power 1 / temperature."""
-    raw = {s: float(n) ** (1 / temperature) if weights is None else float(weights.get(s, 0)) for s, n in tokens.items() if n}
-    if any(w < 0 for w in raw.values()):
-        raise ValueError("weights can't be negative")
+    have = {s: n for s, n in tokens.items() if n}
+    if weights is not None and have and set(weights) != set(have):
+        raise ValueError(f"weights and sources differ in {sorted(map(str, set(weights) ^ set(have)))[:20]}")
+    raw = {s: float(n) ** (1 / temperature) if weights is None else float(weights[s]) for s, n in have.items()}
+    if any(not w >= 0 for w in raw.values()):
+        raise ValueError("weights must be numbers that aren't negative")
     total = sum(raw.values())
     if raw and total <= 0:
         raise ValueError("no source with tokens has a positive weight")
     return {s: w / total for s, w in raw.items()}
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, off = textnum.string_buffers(batch.column(2))
-        n = np.zeros(batch.num_rows, dtype=np.int64)
-        for lo, hi in textnum.slices(off, 1 << 20):
-            _, row = token_starts(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            n[lo:hi] = np.bincount(row, minlength=hi - lo)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n)], names=["source", "doc", "n"])
-
-
-def cut_pieces(buf: np.ndarray, off: np.ndarray, block_tokens: int) -> tuple[np.ndarray, ...]:
-    """The pieces of a stream in order: row, block, place in the block, tokens, first byte, end byte."""
-    at, row = token_starts(buf, off)
-    if not len(at):
-        e = np.empty(0, np.int64)
-        return e, e, e, e, e, e
-    number = np.arange(len(at))
-    lead = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]) | (number % block_tokens == 0))
-    stop = np.append(lead[1:], len(at))
-    last = at[stop - 1]  # the last token's first byte; the piece ends with that token's non-white run
-    white = np.flatnonzero(SPACE[buf])
-    nxt = np.append(white, len(buf))[np.searchsorted(white, last)]
-    end = np.minimum(nxt, off[row[lead] + 1])
-    return row[lead], lead // block_tokens, lead % block_tokens, stop - lead, at[lead], end
-
-
-def _fill(block_tokens: int, names: list[str | None], extra: int, blocks_out: bool, schema: pa.Schema):
-    """Joins the slots of a stream with the blocks packed from its documents."""
-
-    def run(docs: pa.Table, slots: pa.Table) -> pa.Table:
-        if not docs.num_rows or not slots.num_rows:
-            return schema.empty_table()
-        docs = docs.take(pa.compute.sort_indices(docs.select(["doc", "order"]), sort_keys=[("doc", "ascending"), ("order", "ascending")], null_placement="at_start"))
-        buf, off = textnum.string_buffers(docs["text"])
-        row, block, place, size, begin, end = cut_pieces(buf, off, block_tokens)
-        raw = buf.tobytes()
-        bound = np.searchsorted(block, np.arange(int(block[-1]) + 2))
-        slots = slots.sort_by([("local", "ascending"), ("shard", "ascending"), ("place", "ascending")])
-        local = slots["local"].to_numpy()
-        source = names[slots["source_no"][0].as_py()]
-        cols = {"shard": slots["shard"], "place": slots["place"], "epoch": slots["epoch"], "index": slots["index"]}
-        if blocks_out:
-            need = np.unique(local)
-            text = {b: b"\n".join(raw[begin[i] : end[i]] for i in range(bound[b], bound[b + 1])).decode() for b in need.tolist()}
-            ids = docs["doc"].to_pylist()
-            lists = {b: [ids[row[i]] for i in range(bound[b], bound[b + 1])] for b in need.tolist()}
-            total = np.add.reduceat(size, bound[:-1])
-            cols |= {
-                "source": pa.array([source] * len(local), pa.string()), "doc_ids": pa.array([lists[b] for b in local.tolist()], pa.list_(pa.int64())),
-                "n_tokens": pa.array(total[local].astype(np.int32)), "text": pa.array([text[b] for b in local.tolist()], pa.large_string()),
-            }
-            return pa.table(cols).select(schema.names).cast(schema)
-        many = bound[local + 1] - bound[local]
-        slot = np.repeat(np.arange(len(local)), many)
-        piece = np.repeat(bound[local], many) + np.arange(len(slot)) - np.repeat(np.cumsum(many) - many, many)
-        take = pa.array(row[piece])
-        cols = {n: c.take(pa.array(slot)) for n, c in cols.items()}
-        cols |= {"begin": pa.array(place[piece].astype(np.int32)), "text": pa.array([raw[begin[i] : end[i]].decode() for i in piece], pa.large_string())}
-        cols |= {f"e{j}": docs[f"e{j}"].take(take) for j in range(extra)}
-        return pa.table(cols).select(schema.names).cast(schema)
+def _encode(shared, pattern: str):
+    """Rows (source, doc, text, ...) to (source, doc, task, first token in the task's tokens of the source, tokens, packed ids, ...)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, kind = compiled(shared.value, pattern), id_type(shared.value)
+        task, so_far = TaskContext.get().partitionId(), {}
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            first, many, packed, keep = [], [], [], []
+            for i, (source, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
+                text = text.as_py()
+                if not text:
+                    continue
+                ids = encoder(text)
+                keep.append(i)
+                first.append(so_far.get(source, 0))
+                many.append(len(ids))
+                packed.append(pack(ids.astype(kind).tobytes()))
+                so_far[source] = first[-1] + len(ids)
+            rows = batch.take(pa.array(keep, pa.int64()))
+            cols = [rows.column(0), rows.column(1), pa.array(np.full(len(keep), task, np.int32)), pa.array(first, pa.int64()), pa.array(many, pa.int64()), pa.array(packed, pa.binary())]
+            extra = rows.schema.names[3:]
+            yield pa.RecordBatch.from_arrays([*cols, *rows.columns[3:]], names=["source", "doc", "task", "first", "n", "ids", *extra])
+        trim()
+
+    return run
+
+
+def id_type(raw: bytes) -> type:
+    """The narrowest type for the ids of a vocabulary with fewer than `raw` has lines."""
+    return np.uint16 if raw.count(b"\n") < 1 << 16 and max(int(x.rpartition(b" ")[2]) for x in raw.splitlines() if x) < 1 << 16 else np.uint32
+
+
+def block_cuts(offset: int, n: int, block_tokens: int) -> np.ndarray:
+    """Token numbers of a document at which its pieces begin, and its end; `offset` tokens of the source come before."""
+    inner = np.arange(-(-(offset + 1) // block_tokens) * block_tokens, offset + n, block_tokens) - offset
+    return np.concatenate([[0], inner, [n]]).astype(np.int64)
+
+
+def text_cuts(ids: np.ndarray, cuts: np.ndarray, vocabulary: list[bytes], lengths: np.ndarray) -> list[bytes]:
+    """The bytes of each piece, with cuts moved back to the start of a character."""
+    raw = b"".join(map(vocabulary.__getitem__, ids.tolist()))
+    at = np.concatenate([[0], np.cumsum(lengths[ids])])[cuts].tolist()
+    for i, p in enumerate(at[1:-1], 1):
+        while raw[p] & 0xC0 == 0x80:
+            p -= 1
+        at[i] = p
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
+def _pieces(shared, pattern: str, block_tokens: int, texts: bool):
+    """Rows (source_no, base, first, n, ids, ...) to (source_no, index, begin, tokens, ids or text, ...)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, c = id_type(shared.value), codec(shared.value, pattern) if texts else None
+        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            extra = batch.schema.names[5:]
+            rows, size = [], 0
+
+            def made() -> pa.RecordBatch:
+                at, index, begin, many, body = zip(*rows)
+                take = pa.array(at, pa.int64())
+                body = pa.array([b.decode() for b in body], pa.string()) if texts else pa.array(body, pa.binary())
+                cols = [batch.column(0).take(take), pa.array(index, pa.int64()), pa.array(begin, pa.int32()), pa.array(many, pa.int32()), body]
+                return pa.RecordBatch.from_arrays([*cols, *(x.take(take) for x in batch.columns[5:])], names=["source_no", "index", "begin", "n", "body", *extra])
+
+            for i, (base, first, n) in enumerate(zip(*(batch.column(j).to_pylist() for j in (1, 2, 3)))):
+                ids = np.frombuffer(unpack(batch.column(4)[i].as_py()), kind)
+                cuts = block_cuts(base + first, n, block_tokens)
+                place = base + first + cuts
+                bodies = text_cuts(ids, cuts, c.vocabulary, c.lengths) if texts else [pack(ids[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+                for p, m, body in zip(place.tolist(), np.diff(cuts).tolist(), bodies):
+                    if body:
+                        rows.append((i, p // block_tokens, p % block_tokens, m, body))
+                        size += len(body)
+                    if size > BATCH_BYTES:
+                        yield made()
+                        rows, size = [], 0
+            if rows:
+                yield made()
+        trim()
+
+    return run
+
+
+def _assemble(kind: type, names: list[str | None]):
+    """Whole blocks from their pieces: rows (shard, place, source_no, epoch, index, begin, n, ids, doc), sorted."""
+
+    def block(rows: list[tuple]) -> tuple:
+        unpack = zstandard.ZstdDecompressor().decompress
+        shard, place, source, epoch, index, *_ = rows[0]
+        ids = np.frombuffer(b"".join(unpack(r[7]) for r in rows), kind).astype(np.int32)
+        return shard, place, names[source], epoch, index, [r[8] for r in rows], len(ids), ids
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(zip(*out), kinds)], names=_BLOCK_NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, out = [], []
+        for batch in batches:
+            for r in zip(*(batch.column(i).to_pylist() for i in range(9))):
+                if rows and rows[-1][:2] != r[:2]:
+                    out.append(block(rows))
+                    rows = []
+                rows.append(r)
+                if len(out) >= 500:
+                    yield made(out)
+                    out = []
+        if rows:
+            out.append(block(rows))
+        if out:
+            yield made(out)
 
     return run
 
 
+_BLOCK = "shard long, place int, source string, epoch int, index long, doc_ids array<bigint>, n_tokens int, token_ids array<int>"
+_BLOCK_NAMES = ["shard", "place", "source", "epoch", "index", "doc_ids", "n_tokens", "token_ids"]
+
+
 def _draw(shard_blocks: int, total: int, weights: np.ndarray, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(weights)
@@ -204,88 +253,66 @@ def _indexes(shard_blocks: int, total: int, blocks: np.ndarray, seed: int):
     return run
 
 
-def _by_source(values: dict[str | None, int]) -> Column:
-    """The value of each row's source; null for a source that isn't in `values`."""
-    table = [F.lit(x) for s, v in values.items() if s is not None for x in (s, v)]
-    known = F.try_element_at(F.create_map(*table), F.col("source")) if table else F.lit(None)
-    return F.when(F.col("source").isNull(), F.lit(values.get(None))).otherwise(known).cast("int")
-
-
 def _mix(
-    docs: DataFrame, extra: list[str], blocks_out: bool, *, weights: dict | None = None, temperature: float = 2.0,
-    block_tokens: int = 1024, shard_blocks: int = 4096, total_blocks: int | None = None, stream_tokens: int = 8_000_000,
-    seed: int = 7,
-) -> DataFrame:
+    docs: DataFrame, extra: list[str], texts: bool, *, weights: dict | None = None, temperature: float = 2.0,
+    block_tokens: int = 1024, shard_blocks: int = 4096, total_blocks: int | None = None, seed: int = 7,
+    vocabulary: str = VOCABULARY, pattern: str = PATTERN,
+) -> tuple[DataFrame, list[str | None], type]:
+    """(pieces with the slots that they fill, names of the sources by number, type of the ids)."""
     spark = docs.sparkSession
     ws = Workspace(spark, "mixing")
-    doc = F.col("doc_id").cast("long").alias("doc")
-    source, text = F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")
-    counts = ws.save(docs.select(source, doc, text).mapInArrow(_count, "source string, doc long, n long"), "counts")
-    tokens = {r["source"]: r["n"] for r in counts.groupBy("source").agg(F.sum("n").alias("n")).where("n > 0").collect()}
-    classes = _by_source({s: -(-n // stream_tokens) for s, n in tokens.items()})
-    klass = F.pmod(F.xxhash64(F.coalesce("doc", F.lit(-1))), classes).cast("int").alias("class")
-    streams = ws.save(
-        counts.groupBy("source", klass).agg(F.sum("n").alias("n")).where("n > 0")
-        .withColumn("blocks", F.expr(f"(n + {block_tokens - 1}) div {block_tokens}")),
-        "streams",
+    shared = broadcast_vocabulary(spark, vocabulary)
+    source = docs.select(
+        F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"),
+        *[F.col(f"`{c}`").alias(f"e{j}") for j, c in enumerate(extra)],
     )
-    ws.drop(counts)
+    fields = T._parse_datatype_string("source string, doc long, task int, first long, n long, ids binary").fields
+    encoded = ws.save(source.mapInArrow(_encode(shared, pattern), T.StructType([*fields, *source.schema.fields[3:]])), "encoded")
+    tasks = ws.save(encoded.groupBy("source", "task").agg(F.sum("n").alias("tokens")), "tasks")
+    totals = tasks.groupBy("source").agg(F.sum("tokens").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(totals) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    tokens = {r["source"]: r["n"] for r in totals}
     share = target_weights(tokens, weights, temperature)
     names = sorted(share, key=lambda s: (s is not None, s or ""))
-    of = {r["source"]: r["blocks"] for r in streams.groupBy("source").agg(F.sum("blocks").alias("blocks")).collect()}
-    blocks = np.array([of[s] for s in names], dtype=np.int64)
+    blocks = np.array([-(-tokens[s] // block_tokens) for s in names], dtype=np.int64)
     total = int(blocks.sum()) if total_blocks is None else total_blocks
     shards = -(-total // shard_blocks) if names else 0
-    source_no = _by_source({s: i for i, s in enumerate(names)})
-
-    # The blocks of a stream are a range of its source's block indexes; ranges are cut at multiples
-    # of 1024 so that slots find theirs by an equi-join.
-    before = "coalesce(sum(blocks) over (partition by source_no order by class rows between unbounded preceding and 1 preceding), 0)"
-    ranges = (
-        streams.withColumn("source_no", source_no).select("source_no", "class", "blocks", F.expr(before).alias("first"))
-        .withColumn("bucket", F.explode(F.expr("sequence(first div 1024, (first + blocks - 1) div 1024)")))
-    )
+
     drawn = spark.range(shards).select("id").mapInArrow(
         _draw(shard_blocks, total, np.array([share[s] for s in names]), seed), "shard long, source_no int, count long, offset long"
     )
-    base = "coalesce(sum(count) over (partition by source_no order by shard rows between unbounded preceding and 1 preceding), 0)"
+    before = "coalesce(sum({}) over (partition by source_no order by {} rows between unbounded preceding and 1 preceding), 0)"
     slots = (
-        drawn.withColumn("base", F.expr(base)).where("count > 0")
+        drawn.withColumn("base", F.expr(before.format("count", "shard"))).where("count > 0")
         .select("shard", "source_no", "base", "offset", F.explode(F.expr("sequence(0L, count - 1)")).alias("k"))
         .select("shard", "source_no", F.expr("base + k").alias("j"), F.expr("offset + k").alias("slot"))
         .mapInArrow(_indexes(shard_blocks, total, blocks, seed), "shard long, place int, source_no int, epoch int, index long")
-        .withColumn("bucket", F.expr("index div 1024"))
-        .join(ranges, ["source_no", "bucket"]).where("index >= first and index < first + blocks")
-        .select("source_no", "class", F.expr("index - first").alias("local"), "shard", "place", "epoch", "index")
     )
-    rows = docs.select(
-        source, doc, text, *[F.col(f"`{c}`").alias(f"e{j}") for j, c in enumerate(extra)]
-    ).where("text is not null").select(
-        source_no.alias("source_no"), klass, "doc", F.xxhash64("text").alias("order"), "text", *[f"e{j}" for j in range(len(extra))]
-    ).where("source_no is not null")
-    head = [("shard", "long"), ("place", "int"), ("epoch", "int"), ("index", "long")]
-    if blocks_out:
-        fields = [*head, ("source", "string"), ("doc_ids", "array<bigint>"), ("n_tokens", "int"), ("text", "string")]
-    else:
-        fields = [*head, ("begin", "int"), ("text", "string")]
-    schema = T.StructType([T.StructField(n, T._parse_datatype_string(k)) for n, k in fields])
-    if not blocks_out:
-        schema = T.StructType(schema.fields + [T.StructField(f"e{j}", rows.schema[f"e{j}"].dataType) for j in range(len(extra))])
-    fill = _fill(block_tokens, names, len(extra), blocks_out, to_arrow_schema(schema))
-    return rows.groupBy("source_no", "class").cogroup(slots.groupBy("source_no", "class")).applyInArrow(fill, schema)
+    numbers = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "name string, source_no int")
+    bases = tasks.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("name"))).select(
+        "source_no", F.col("source").alias("of"), F.col("task").alias("in"), F.expr(before.format("tokens", "task")).alias("base")
+    )
+    placed = encoded.join(bases, F.col("source").eqNullSafe(F.col("of")) & (F.col("task") == F.col("in")))
+    kept = [f"e{j}" for j in range(len(extra))] if texts else ["doc"]
+    placed = placed.select("source_no", "base", "first", "n", "ids", *kept)
+    kind = T.StructType([*T._parse_datatype_string(f"source_no int, index long, begin int, n int, body {'string' if texts else 'binary'}").fields, *placed.schema.fields[5:]])
+    pieces = placed.mapInArrow(_pieces(shared, pattern, block_tokens, texts), kind)
+    return pieces.join(slots.hint("shuffle_hash"), ["source_no", "index"]), names, id_type(shared.value)
 
 
 def mix_blocks(docs: DataFrame, **options) -> DataFrame:
-    """(shard, place, source, epoch, index, doc_ids, n_tokens, text) of the drawn blocks, shard by shard in order of place.
+    """(shard, place, source, epoch, index, doc_ids, n_tokens, token_ids) of the drawn blocks, shard by shard in order of place.
 
-    Pieces of several documents in a block are joined by a line end.
-    Options: weights (by source; without them, token counts to the power
-    1 / temperature), temperature, block_tokens, shard_blocks, total_blocks (as
-    many as there are blocks, if not given), stream_tokens, seed.
+    doc_ids has the document of each piece of the block.  Options: weights (by
+    source; without them, token counts to the power 1 / temperature),
+    temperature, block_tokens, shard_blocks, total_blocks (as many as there are
+    blocks, if not given), seed, vocabulary, pattern.
     """
-    out = _mix(docs, [], True, **options)
-    return out.repartition("shard").sortWithinPartitions("shard", "place").select(
-        "shard", "place", "source", "epoch", "index", "doc_ids", "n_tokens", "text"
+    pieces, names, kind = _mix(docs, [], False, **options)
+    return (
+        pieces.repartition("shard").sortWithinPartitions("shard", "place", "begin")
+        .select("shard", "place", "source_no", "epoch", "index", "begin", "n", "body", "doc").mapInArrow(_assemble(kind, names), _BLOCK)
     )
 
 
@@ -295,8 +322,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     All columns stay; text is the piece and n_chars, if there, its length.
     """
     extra = [c for c in docs.columns if c != "text"]
-    out = _mix(docs, extra, False, **options)
-    cols = {c: F.col(f"e{j}") for j, c in enumerate(extra)} | {"text": F.col("text")}
+    out, _, _ = _mix(docs, extra, True, **options)
+    cols = {c: F.col(f"e{j}") for j, c in enumerate(extra)} | {"text": F.col("body")}
     if "n_chars" in cols:
-        cols["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+        cols["n_chars"] = F.length("body").cast(docs.schema["n_chars"].dataType)
     return out.select(*[cols[c].alias(c) for c in docs.columns])

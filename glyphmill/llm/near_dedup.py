@@ -7,10 +7,15 @@ pruned as soon as P(similarity >= threshold) falls below the chosen miss
 probability.  What survives all batches is verified exactly, on the shingle
 sets of the whole texts.
 
+With 54 bands of 3 hashes, a pair at the threshold of 0.5 shares no bucket with
+probability 0.0007 (less above it), which comes on top of the chosen one.
+
 Pairs inside a bucket that are already joined by links whose posterior
 probability of lying under the threshold is below `link_error` aren't emitted
 again; every other pair is compared.  So large groups of copies cost about one
-comparison a member and no pair is capped away.
+comparison a member and no pair is capped away.  Buckets above `TOGETHER`
+documents aren't gathered into one task: they are cut into blocks, and every two
+blocks are compared in a task of their own.
 
 Defined results
 ---------------
@@ -18,8 +23,8 @@ Defined results
 * A text without words (empty, white space, punctuation) is only equal to the
   byte-identical text (after lower-casing).
 * Repeated rows: rows that share a doc_id are one document with several texts,
-  near another if any of its texts is.  `drop_near_duplicates` keeps one of
-  the rows that agree in doc_id and text.
+  near another if any of its texts is.  Of the rows that agree in doc_id and
+  text, `drop_near_duplicates` keeps the one whose columns have the least hash.
 * Ties: the least doc_id of a group is its representative and stays.
 * Further columns pass through `drop_near_duplicates` untouched, whatever their
   names; `near_duplicate_groups` doesn't return them.
@@ -33,14 +38,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import textnum
-from glyphmill.llm.common import Workspace, connected_components, group_bounds, grouped
+from glyphmill.llm.common import Workspace, connected_components, free_names, group_bounds, grouped, may_have
 
-HASHES, ROWS = 126, 3
+HASHES, ROWS = 162, 3
 BATCH = 18
+TOGETHER = 20_000  # documents of a bucket that are compared in one task
 SLICE = 1 << 18
 
 _rng = np.random.default_rng(20240229)
@@ -183,7 +189,7 @@ def _verify_worker(k: int, threshold: float):
 
 
 def near_duplicate_groups(
-    docs: DataFrame, *, threshold: float = 0.5, shingle: int = 3, miss: float = 0.001, link_error: float = 1e-6
+    docs: DataFrame, *, threshold: float = 0.5, shingle: int = 3, miss: float = 0.001, link_error: float = 1e-6, together: int = TOGETHER
 ) -> DataFrame:
     """(doc_id, group_id, kept) of every distinct non-null doc_id that has a text.
 
@@ -191,7 +197,7 @@ def near_duplicate_groups(
     is its own group.  kept is true for one document of each group.
     """
     ws = Workspace(docs.sparkSession, "near-dedup")
-    roots, exact = _roots(ws, docs, threshold, shingle, miss, link_error)
+    roots, exact, _ = _roots(ws, docs, threshold, shingle, miss, link_error, together)
     return _grouped_ids(exact, roots).select(
         "doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept")
     )
@@ -204,14 +210,14 @@ def _grouped_ids(exact: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
-def _roots(ws: Workspace, docs: DataFrame, threshold: float, shingle: int, miss: float, link_error: float):
+def _roots(ws: Workspace, docs: DataFrame, threshold: float, shingle: int, miss: float, link_error: float, together: int):
     base = docs.select(F.col("doc_id").cast("long").alias("id"), F.lower(F.col("text").cast("string")).alias("text")).where(
         "id is not null and text is not null"
     )
     # Exact copies collapse first, on a 128-bit digest: only representatives get signatures.
     digests = ws.save(base.select("id", F.unhex(F.md5("text")).alias("digest")), "digests")
     reps = digests.groupBy("digest").agg(F.min("id").alias("rep"))
-    exact = ws.save(digests.join(reps, "digest").select("id", "digest", "rep").distinct(), "exact")
+    exact = ws.save(digests.join(reps, "digest").groupBy("id", "digest", "rep").count(), "exact")
 
     def sign(batches):
         for batch in batches:
@@ -233,13 +239,22 @@ def _roots(ws: Workspace, docs: DataFrame, threshold: float, shingle: int, miss:
 
     bands = HASHES // ROWS
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(bands)])
-    buckets = (
-        sigs.select("id", F.explode(keys).alias("key"))
-        .groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    keyed = sigs.select("id", F.explode(keys).alias("key"))
+    large = ws.save(keyed.groupBy("key").count().where(F.col("count") > together), "large")
+    few = (
+        keyed.join(large, "key", "left_anti").groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
         .where(F.size("ids") > 1)
         .select("ids").distinct()  # bands that hold the same documents are one bucket
+        .select(F.xxhash64("ids", F.size("ids")).alias("bkt"), F.explode("ids").alias("id"))
+    )
+    blocks = F.ceil(F.col("count") * 2 / together).cast("int")
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    many = (
+        keyed.join(large, "key").select("key", "id", blocks.alias("blocks")).withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("bkt"), "id")
     )
-    members = buckets.select(F.xxhash64("ids", F.size("ids")).alias("bkt"), F.explode("ids").alias("id"))
+    members = few.union(many)
     rule = stopping_rule(threshold, miss, link_error)
     edges = ws.save(
         members.join(sigs, "id")
@@ -262,22 +277,26 @@ def _roots(ws: Workspace, docs: DataFrame, threshold: float, shingle: int, miss:
     )
     copies = exact.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     roots = connected_components(ws, verified.union(copies), "a", "b")
-    ws.drop(sigs, edges)
-    return roots, exact
+    ws.drop(sigs, edges, large)
+    return roots, exact, exact.where(F.col("count") > 1).select("id")
+
 
+def drop_near_duplicates(
+    docs: DataFrame, *, threshold: float = 0.5, shingle: int = 3, miss: float = 0.001, link_error: float = 1e-6, together: int = TOGETHER
+) -> DataFrame:
+    """The rows of `docs`, all columns, without the later members of each group; see the module for the cases.
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, all columns, without the later members of each group; see the module for the cases."""
+    Only rows that may go are shuffled.
+    """
     ws = Workspace(docs.sparkSession, "near-dedup")
-    roots, _ = _roots(
-        ws, docs, options.get("threshold", 0.5), options.get("shingle", 3), options.get("miss", 0.001),
-        options.get("link_error", 1e-6),
-    )
-    removed = roots.select(F.col("node").alias("__gm_node"))
-    free = docs["doc_id"].isNull() | docs["text"].isNull()
-    part = docs.where(~free)
-    left = part.join(removed, part["doc_id"].cast("long") == F.col("__gm_node"), "left_anti")
-    names = left.columns
-    same = Window.partitionBy(left["doc_id"], F.md5(left["text"])).orderBy(F.lit(1))
-    one = left.withColumn("__gm_row", F.row_number().over(same)).where("__gm_row = 1").select(*[f"`{n}`" for n in names])
-    return one.unionByName(docs.where(free))
+    roots, _, again = _roots(ws, docs, threshold, shingle, miss, link_error, together)
+    node, key, digest, row = free_names(docs.columns, "node", "key", "digest", "row")
+    removed = roots.select(F.col("node").alias(node))
+    keyed = docs.withColumn(key, F.when(F.col("text").isNotNull(), F.col("doc_id").cast("long")))
+    may_go = may_have(removed.union(again), F.col(key))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    left = keyed.where(may_go).join(removed, F.col(key) == F.col(node), "left_anti")
+    # one row of those that agree in doc_id and text; partial aggregation keeps a frequent row from piling up
+    rank = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    one = left.groupBy(F.col(key), F.md5(F.col("text").cast("string")).alias(digest)).agg(F.min_by(F.struct(*names), rank).alias(row))
+    return one.select(*[F.col(row).getField(c).alias(c) for c in docs.columns]).union(keyed.where(~may_go).select(*names))

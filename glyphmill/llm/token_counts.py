@@ -38,7 +38,7 @@ ROWS_AT_ONCE = 500
 
 def allocate(token_ends: np.ndarray, starts: np.ndarray, rule: str = "overlap") -> np.ndarray:
     """The span of each token, for spans that begin at `starts` (ascending, from 0) and tile the text."""
-    begin = np.concatenate([[0], token_ends[:-1]]).astype(np.int64)
+    begin = np.concatenate([[0], token_ends]).astype(np.int64)[:-1]
     first = np.searchsorted(starts, begin, side="right") - 1
     if rule == "start":
         return first
@@ -108,9 +108,13 @@ def count_by_field(
     rows: DataFrame, key: str, fields: list[str], *, separator: str = "\n", rule: str = "overlap",
     vocabulary: str = VOCABULARY, pattern: str = PATTERN,
 ) -> DataFrame:
-    """(key, field, n_tokens): the fields are joined by `separator`, which counts with the field before it."""
+    """(key, field, n_tokens): the fields are joined by `separator`, which counts with the field before it.
+
+    A key column named like one of the other two is returned as `key`.
+    """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    out_key = "key" if key.lower() in ("field", "n_tokens") else key
     shared = broadcast_vocabulary(rows.sparkSession, vocabulary)
     parts = [F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")) for f in fields]
     parts = [F.concat(p, F.lit(separator)) if i + 1 < len(parts) else p for i, p in enumerate(parts)]
@@ -134,7 +138,7 @@ def count_by_field(
                     pa.array(fields * batch.num_rows, pa.string()),
                     pa.array(counts.reshape(-1)),
                 ],
-                names=[key, "field", "n_tokens"],
+                names=[out_key, "field", "n_tokens"],
             )
 
-    return source.mapInArrow(run, f"`{key}` {kind}, field string, n_tokens int")
+    return source.mapInArrow(run, f"`{out_key}` {kind}, field string, n_tokens int")
