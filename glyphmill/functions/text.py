@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,8 +87,6 @@ def sentences(text: Column) -> Column:
 
 def highlight_prefixes(text: Column, terms: list[str]) -> Column:
     """Marks the words that start with one of the terms, in any case."""
-    import re
-
     any_of = "|".join(re.escape(t) for t in terms)
     return F.regexp_replace(text, r"(?i)(^|[^\p{L}\p{N}_])((" + any_of + r")[\p{L}\p{N}_]*)", "$1<strong>$2</strong>")
 
@@ -101,3 +101,31 @@ def ucfirst(s: Column) -> Column:
 
 def lcfirst(s: Column) -> Column:
     return F.concat(F.lower(F.substring(s, 1, 1)), F.substr(s, F.lit(2)))
+
+
+def token_spans(text: Column, *, stems: bool = False) -> Column:
+    """Array of (token, start, end) of the tokens of two or more word characters, in order; tokens are stemmed if `stems`.
+
+    Positions are in characters, and the end isn't included.
+    """
+
+    @F.arrow_udf("array<struct<token: string, start: int, end: int>>")
+    def run(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("token", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        out = []
+        for t in texts.to_pylist():
+            found = None if t is None else [(m[0], m.start(), m.end()) for m in _WORD.finditer(t)]
+            out.append(None if found is None else [{"token": stem(w) if stems else w, "start": a, "end": b} for w, a, b in found])
+        return pa.array(out, kind)
+
+    return run(text)
+
+
+def token_positions(spans: Column) -> Column:
+    """Map from token to its (start, end) spans, in order, of what `token_spans` returns."""
+    names = F.array_distinct(F.transform(spans, lambda x: x["token"]))
+    of = F.transform(names, lambda n: F.transform(F.filter(spans, lambda x: x["token"] == n), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    return F.map_from_arrays(names, of)
+
+
+_WORD = re.compile(r"\b\w\w+\b")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as X
+from glyphmill.storage import Workspace, numbered
 
 KEY = ["group_id", "shard", "doc_id"]
 
@@ -49,9 +50,10 @@ def corpus(docs: DataFrame, s: Settings, *, doc_id: str = "doc_id", body: str =
 
 
 def assign_groups(pages: DataFrame, order: str, groups: int) -> DataFrame:
-    """Deals rows to groups in turn and numbers them within each group, from 0."""
-    dealt = pages.withColumn("group_id", F.pmod(F.row_number().over(Window.orderBy(order)) - 1, F.lit(groups)).cast("int"))
-    return dealt.withColumn("local_id", (F.row_number().over(Window.partitionBy("group_id").orderBy(order)) - 1).cast("long"))
+    """Deals rows to groups in turn, in the given order, and numbers them within each group, from 0."""
+    rows = numbered(pages, order, "gm_row")
+    n = F.col("gm_row")
+    return rows.withColumn("group_id", F.pmod(n, F.lit(groups)).cast("int")).withColumn("local_id", F.floor(n / groups).cast("long")).drop("gm_row")
 
 
 def term_freq(docs: DataFrame, s: Settings) -> DataFrame:
@@ -103,13 +105,21 @@ def vocabulary(by_group: DataFrame, counts: DataFrame, s: Settings) -> DataFrame
     return numbered.select("term", (F.col("before") + F.col("nth") - 1).cast("long").alias("term_id"), "df", "idf")
 
 
-def doc_vectors(docs: DataFrame, vocab: DataFrame, s: Settings) -> DataFrame:
-    """(group_id, shard, doc_id, term, weight): idf times body frequency plus damped and boosted title frequency."""
-    body = docs.select(*KEY, F.explode(X.analyse(F.lower("body"), stems=s.stems)).alias("term"), F.lit(1.0).alias("w"))
+def title_freq(docs: DataFrame, s: Settings) -> DataFrame:
+    """(group_id, shard, doc_id, term, w): each title term's damped and boosted frequency."""
     boost = F.lit(s.title_bonus) * F.pow(F.lit(10.0) / X.title_length(F.col("title")), F.lit(2.0))
-    title = docs.where("title <> ''").select(*KEY, F.explode(X.analyse(F.lower("title"), stems=s.stems)).alias("term"), boost.alias("w"))
-    sums = body.unionByName(title).groupBy(*KEY, "term").agg(F.sum("w").alias("w"))
-    return sums.join(vocab.select("term", "idf"), "term").select(*KEY, "term", (F.col("w") * F.col("idf")).alias("weight"))
+    terms = docs.where("title <> ''").select(*KEY, F.explode(X.analyse(F.lower("title"), stems=s.stems)).alias("term"), boost.alias("boost"))
+    return terms.groupBy(*KEY, "term").agg(F.sum("boost").alias("w"))
+
+
+def doc_vectors(tf: DataFrame, titles: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(group_id, shard, doc_id, term, weight): idf times body frequency plus that of the title.
+
+    The vocabulary has no stop words, so the frequencies without them will do.
+    """
+    both = tf.select(*KEY, "term", F.col("tf").cast("double").alias("w")).unionByName(titles)
+    known = both.join(vocab.select("term", "idf"), "term")
+    return known.groupBy(*KEY, "term").agg((F.sum("w") * F.first("idf")).alias("weight"))
 
 
 @dataclass
@@ -128,11 +138,19 @@ class Index:
 
 
 def build(docs: DataFrame, s: Settings = Settings()) -> Index:
-    """All tables of the index of a corpus."""
-    tf = term_freq(docs, s)
+    """All tables of the index of a corpus.
+
+    Documents are tokenised once: the frequencies are a written table, and the
+    other tables are made of it and written in turn.
+    """
+    ws = Workspace(docs.sparkSession, "index")
+    tf = ws.save(term_freq(docs, s), "tf")
     counts = doc_counts(docs)
-    vocab = vocabulary(group_df(shard_df(tf), counts, s), counts, s)
-    return Index(docs, postings(tf, s), vocab, doc_vectors(docs, vocab, s), s)
+    vocab = ws.save(vocabulary(group_df(shard_df(tf), counts, s), counts, s), "vocab")
+    post = ws.save(postings(tf, s), "postings")
+    vectors = ws.save(doc_vectors(tf, title_freq(docs, s), vocab), "vectors")
+    ws.drop(tf)
+    return Index(docs, post, vocab, vectors, s)
 
 
 def open_index(spark, path: str, s: Settings = Settings()) -> Index:

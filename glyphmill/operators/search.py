@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as X
 from glyphmill.operators.index import Index
+from glyphmill.storage import Workspace
 
 WHERE = ["qid", "group_id", "shard"]
 
@@ -50,7 +51,7 @@ def search(index: Index, queries: DataFrame) -> DataFrame:
     Ties: group, shard, phase, doc_id.
     """
     s = index.settings
-    found = candidates(index, queries)
+    found = Workspace(queries.sparkSession, "search").save(candidates(index, queries), "candidates")
     weights = index.vectors.select("group_id", "doc_id", "term", "weight")
     # the vectors first meet the few terms that are asked for, then the candidates
     dots = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,27 +12,26 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as X
 from glyphmill.functions.porter2 import stem
-from glyphmill.operators.index import Index
+from glyphmill.operators.index import Index, Settings
+from glyphmill.storage import Workspace
 
 _WORD = re.compile(r"\b\w\w+\b")
 
 
-def best_sentences(index: Index, queries: DataFrame, hits: DataFrame) -> DataFrame:
-    """(qid, group_id, doc_id, sent_id): first of the sentences with the highest score; sentence 0 if none has one."""
+def best_sentences(index: Index, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the documents (qid, group_id, doc_id, sents) of the hits: (qid, group_id, doc_id, sent_id): first of the sentences with the highest score; sentence 0 if none has one."""
     s = index.settings
     q = queries.select("qid", F.explode(X.analyse(F.lower("q"), stems=s.stems)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("n"))
     plain = queries.select("qid", F.explode(F.array_distinct(X.tokens(F.col("q")))).alias("term"), F.lit(s.verbatim_term).alias("factor"))
     weights = index.vocab.join(q, "term").join(plain, ["qid", "term"], "left").select(
         "qid", "term", (F.col("n") * F.col("idf") * F.col("idf") * F.coalesce("factor", F.lit(1.0))).alias("w")
     )
-    sents = hits.select("qid", "group_id", "doc_id").join(index.docs, ["group_id", "doc_id"]).select(
-        "qid", "group_id", "doc_id", F.posexplode(F.slice(X.sentences(F.col("body")), 1, s.snippet_sentences)).alias("sent_id", "sent")
-    )
+    sents = docs.select("qid", "group_id", "doc_id", F.posexplode(F.slice("sents", 1, s.snippet_sentences)).alias("sent_id", "sent"))
     terms = sents.select("qid", "group_id", "doc_id", "sent_id", F.explode(X.analyse(F.lower("sent"), stems=s.stems)).alias("term"))
     score = F.sum("w") * F.when(F.col("sent_id") == 0, F.lit(s.first_sentence)).otherwise(F.lit(1.0))
     scored = terms.join(weights, ["qid", "term"]).groupBy("qid", "group_id", "doc_id", "sent_id").agg(score.alias("score"))
     best = scored.groupBy("qid", "group_id", "doc_id").agg(F.max_by("sent_id", F.struct(F.col("score"), -F.col("sent_id"))).alias("sent_id"))
-    return hits.select("qid", "group_id", "doc_id").join(best, ["qid", "group_id", "doc_id"], "left").select(
+    return docs.select("qid", "group_id", "doc_id").join(best, ["qid", "group_id", "doc_id"], "left").select(
         "qid", "group_id", "doc_id", F.coalesce("sent_id", F.lit(0)).alias("sent_id")
     )
 
@@ -45,16 +45,15 @@ def expand(sents: list[str], at: int, terms: set[str], n: int = 80) -> str:
         used += 1
         if len(words) >= n:
             break
-    front = ""
     if len(words) > n:
-        front = "... "
         if used > 1:
             words = words[:n]
         else:
             p = max((i for i, w in enumerate(words) if w in terms), default=0)
             half = n // 2
             words = words[-n:] if len(words) - p < half else words[:n] if p < half else words[p - half : p + half]
-    return front + " ".join(words) + " ..."
+            words.insert(0, "... ")
+    return " ".join(words) + " ..."
 
 
 def highlight(snippet: str, terms: set[str]) -> str:
@@ -80,9 +79,33 @@ def _snippets(n: int):
 
 
 def result_page(index: Index, queries: DataFrame, hits: DataFrame) -> DataFrame:
-    """`hits` with title, url and snippet, keyed by group and document."""
-    best = best_sentences(index, queries, hits)
+    """`hits` with title, url and snippet, keyed by group and document.
+
+    Only the documents of the hits are read in full, once.
+    """
+    ws = Workspace(hits.sparkSession, "snippets")
+    hits = ws.save(hits, "hits")
     docs = index.docs.select("group_id", "doc_id", "title", "url", X.sentences(F.col("body")).alias("sents"))
+    rows = ws.save(docs.join(hits, ["group_id", "doc_id"]), "documents")
+    best = best_sentences(index, queries, rows)
     terms = queries.select("qid", X.analyse(F.col("q"), stems=True).alias("terms"))
-    rows = hits.join(best, ["qid", "group_id", "doc_id"]).join(docs, ["group_id", "doc_id"]).join(terms, "qid")
-    return rows.withColumn("snippet", _snippets(index.settings.snippet_tokens)("sents", "sent_id", "terms")).drop("sents", "terms", "sent_id")
+    out = rows.join(best, ["qid", "group_id", "doc_id"]).join(terms, "qid")
+    snippet = _snippets(index.settings.snippet_tokens)("sents", "sent_id", "terms")
+    return out.withColumn("snippet", snippet).select(*hits.columns, "title", "url", "snippet")
+
+
+def document_snippet(body: str, query: str, idf: dict[str, float], s: Settings = Settings()) -> str:
+    """The snippet of one document, without a session: `idf` has the vocabulary's terms of the query."""
+    sents = [x for x in re.sub(r"([.!?])\s+", "\\1\x01", body).split("\x01") if x]
+    if not sents:
+        return ""
+    asked, plain = Counter(_analyse(query.lower())), set(_WORD.findall(query))
+    weight = {t: n * idf[t] * idf[t] * (s.verbatim_term if t in plain else 1.0) for t, n in asked.items() if t in idf}
+    score = [sum(weight.get(t, 0.0) for t in _analyse(x.lower())) for x in sents[: s.snippet_sentences]]
+    score[0] *= s.first_sentence
+    terms = set(_analyse(query))
+    return highlight(expand(sents, max(range(len(score)), key=lambda i: (score[i], -i)), terms, s.snippet_tokens), terms)
+
+
+def _analyse(text: str) -> list[str]:
+    return [t for w in _WORD.findall(text) for t in dict.fromkeys((w, stem(w)))]

@@ -1,4 +1,8 @@
-"""Registered queries of the retrieval operators and their SQL; the SQL runs without stems, which DuckDB lacks."""
+"""Registered queries of the retrieval operators and their SQL.
+
+DuckDB has no stemmer, so the queries with SQL run without stems; `search_ranked`
+and `result_pages` have them and are tested by brute force.
+"""
 
 from __future__ import annotations
 
@@ -49,6 +53,37 @@ def _hits(spark: SparkSession, sf: str, s: I.Settings) -> DataFrame:
     return search.search(I.build(_docs(spark, sf, s), s), _asked(spark, sf))
 
 
+def _marked_up(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as wiki pages: bold, links of several kinds, templates, references, a heading, a table and entities around the text."""
+    n = F.col("doc_id").cast("string")
+    return _table(spark, sf, "documents").select("doc_id", F.concat(
+        F.lit("'''Page "), n, F.lit("''' {{Infobox|a={{b|c}}|d}}is [[Target|shown "), n, F.lit("]]s, [[Plain]], [[File:x.png|thumb|[[a]] b]][http://e.org/"), n,
+        F.lit(" site] &amp; {{uc:more}}<ref name=\"r\"/><ref>note</ref>\n== Heading ==\n{|\n| cell {{x}}\n|}"), F.col("text"), F.lit("\n\nend{{#if:|no|}}__TOC__"),
+    ).alias("page"))
+
+
+def wiki_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return _marked_up(spark, sf).select("doc_id", wikitext.clean_column("page", mode="index").alias("clean"))
+
+
+def parser_functions(spark: SparkSession, sf: str) -> DataFrame:
+    call = F.concat(
+        F.lit("{{uc:"), "lang", F.lit("}}|{{ucfirst:"), "lang", F.lit("}}|{{#ifeq:"), "lang", F.lit("|en|yes|no}}|{{#ifeq:"), "lang", F.lit("||yes|no}}|{{#if:{{lc: }}|a|b}}|{{#switch:"), "lang",
+        F.lit("|en|de=germanic|fr=romance|#default=other}}|{{#expr:"), F.col("n_chars").cast("string"), F.lit("*2+1}}|{{#invoke:String|sublength|s="), "source", F.lit("|i=2|len=2}}|{{#invoke:String|find|"),
+        "source", F.lit("|c}}|{{#iferror:{{#expr:1/0}}|bad|good}}|{{#invoke:Roman|main|"), (F.col("doc_id") % 4).cast("string"), F.lit("}}|{{unknown|x}}."),
+    )
+    rows = _table(spark, sf, "documents").select("doc_id", call.alias("call"))
+    return rows.select("doc_id", wikitext.expand_column("call").alias("value"))
+
+
+def best_sentence(spark: SparkSession, sf: str) -> DataFrame:
+    index = I.build(_page_docs(spark, sf, PLAIN), PLAIN)
+    asked = _asked(spark, sf)
+    first = search.page_of(search.search(index, asked), 1).select("qid", "group_id", "doc_id")
+    docs = index.docs.join(first, ["group_id", "doc_id"]).select("qid", "group_id", "doc_id", X.sentences(F.col("body")).alias("sents"))
+    return snippet.best_sentences(index, asked, docs).select("qid", "doc_id", "sent_id")
+
+
 def _r(c: str):
     return (F.rint(F.col(c) * 1e6) / 1e6).alias(c)
 
@@ -92,7 +127,8 @@ QUERIES: dict[str, Query] = {
     "doc_freq_group": lambda s, d: I.group_df(I.shard_df(_tf(s, d)), I.doc_counts(_docs(s, d)), PLAIN),
     "vocabulary": lambda s, d: _vocab(s, d).select("term", "term_id", "df", _r("idf")),
     "postings": lambda s, d: I.postings_string(I.postings(_tf(s, d), PLAIN)),
-    "doc_tfidf": lambda s, d: I.doc_vectors(_docs(s, d), _vocab(s, d), PLAIN).select("doc_id", "term", _r("weight")),
+    "doc_freq_global": lambda s, d: I.group_df(I.shard_df(_tf(s, d)), I.doc_counts(_docs(s, d)), PLAIN).groupBy("term").agg(F.sum("df").alias("df")),
+    "doc_tfidf": lambda s, d: I.build(_docs(s, d), PLAIN).vectors.select("doc_id", "term", _r("weight")),
     "title_boost": lambda s, d: I.build(_page_docs(s, d, PLAIN), PLAIN).vectors.select("doc_id", "term", _r("weight")),
     "search_plain": lambda s, d: _hits(s, d, PLAIN).select("qid", "rank", "group_id", "doc_id", "score"),
     "search_paged": lambda s, d: search.page_of(_hits(s, d, PLAIN), 2).select("qid", "rank", "doc_id", "page", "num_results", "num_pages"),
@@ -100,7 +136,11 @@ QUERIES: dict[str, Query] = {
     "result_pages": result_pages,
     "sentence_split": lambda s, d: _table(s, d, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sent_id", "sentence")),
     "highlight_prefixes": lambda s, d: _table(s, d, "benchmark").select("item_id", X.highlight_prefixes(X.html_escape(F.col("text")), ["the", "re", "ma"]).alias("marked")),
-    "wiki_clean": lambda s, d: _table(s, d, "documents").select("doc_id", wikitext.clean_column("text").alias("clean")),
+    "wiki_clean": wiki_clean,
+    "parser_functions": parser_functions,
+    "html_escape": lambda s, d: _table(s, d, "pages").select("page_id", X.html_escape(F.col("html")).alias("escaped")),
+    "best_sentence": best_sentence,
+    "token_spans": lambda s, d: _table(s, d, "benchmark").select("item_id", F.explode(X.token_spans(F.col("text"))).alias("t")).select("item_id", "t.token", F.expr("int(t.end - t.start)").alias("n"), F.col("t.start").alias("at")),
 }
 
 _TOK = r"regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]{{2,}}')"
@@ -132,6 +172,16 @@ scored AS (SELECT qid, group_id, shard, doc_id, round_even(coalesce(sum(qw * wei
            FROM cand LEFT JOIN (SELECT qid, doc_id, qw * weight AS x, qw, weight FROM qv JOIN vec USING (term)) USING (qid, doc_id) GROUP BY ALL),
 hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, group_id, shard, doc_id)::INT AS rank FROM scored QUALIFY rank <= 100)"""
 _PAGES = _CTE.replace(f"FROM documents)", "FROM pg)").replace("WITH docs AS", f"WITH pg AS (SELECT page_id AS doc_id, {_BODY} AS text, {_TITLE} AS title FROM pages),\ndocs AS").replace("text, '' AS title", "text, title")
+_SENTS = r"list_filter(string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+_BEST = f"""{_SEARCH.replace(_CTE, _PAGES)},
+plain AS (SELECT DISTINCT qid, term, 2.0::DOUBLE AS factor FROM qt),
+wt AS (SELECT qv.qid, qv.term, qw * idf * coalesce(factor, 1) AS x FROM qv JOIN vocab ON qv.term = vocab.term LEFT JOIN plain ON plain.qid = qv.qid AND plain.term = qv.term),
+sents AS (SELECT qid, doc_id, unnest(s) AS sent, generate_subscripts(s, 1) - 1 AS sent_id
+          FROM (SELECT qid, doc_id, list_slice({_SENTS.format("text")}, 1, 20) AS s FROM hits JOIN pg USING (doc_id) WHERE rank <= 10)),
+st AS (SELECT qid, doc_id, sent_id, unnest({_TOK.format("lower(sent)")}) AS term FROM sents),
+ss AS (SELECT qid, doc_id, sent_id, sum(x) * any_value(CASE WHEN sent_id = 0 THEN 3 ELSE 1 END) AS score FROM st JOIN wt USING (qid, term) GROUP BY qid, doc_id, sent_id),
+best AS (SELECT qid, doc_id, sent_id FROM ss QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, sent_id) = 1)
+SELECT qid, doc_id, coalesce(sent_id, 0)::INT AS sent_id FROM hits LEFT JOIN best USING (qid, doc_id) WHERE rank <= 10"""
 
 ORACLE_SQL: dict[str, str] = {
     "wordcount": f"SELECT word, count(*) AS n FROM (SELECT unnest({_TOK.format('text')}) AS word FROM documents) GROUP BY 1",
@@ -153,4 +203,15 @@ ORACLE_SQL: dict[str, str] = {
     "search_paged": f"{_SEARCH} SELECT qid, rank, doc_id, (rank - 1) // 10 + 1 AS page, n AS num_results, ceil(n / 10)::BIGINT AS num_pages FROM hits JOIN (SELECT qid, count(*) AS n FROM hits GROUP BY 1) USING (qid) WHERE (rank - 1) // 10 = 1",
     "sentence_split": r"SELECT doc_id, (generate_subscripts(s, 1) - 1)::INT AS sent_id, unnest(s) AS sentence FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents)",
     "highlight_prefixes": r"SELECT item_id, regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)(^|[^\p{L}\p{N}_])((the|re|ma)[\p{L}\p{N}_]*)', '\1<strong>\2</strong>', 'g') AS marked FROM benchmark",
+    "doc_freq_global": f"{_CTE} SELECT term, sum(df)::BIGINT AS df FROM gdf GROUP BY 1",
+    "html_escape": "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages",
+    "wiki_clean": """SELECT doc_id, replace('Page ' || doc_id || ' is shown ' || doc_id || 's, Plain, site & MORE' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'end', chr(10) || chr(10), '') AS clean FROM documents""",
+    "parser_functions": """SELECT doc_id, upper(lang) || '|' || upper(lang[1]) || lang[2:] || '|' || (CASE WHEN lang = 'en' THEN 'yes' ELSE 'no' END) || '||b|' ||
+        (CASE WHEN lang IN ('en', 'de') THEN 'germanic' WHEN lang = 'fr' THEN 'romance' ELSE 'other' END) || '|' || (n_chars * 2 + 1) || '|' || substr(source, 2, 2) || '|' ||
+        strpos(source, 'c') || '|bad|' || ['', 'I', 'II', 'III'][(doc_id % 4 + 1)::INT] || '|.' AS value FROM documents""",
+    "best_sentence": _BEST,
+    "token_spans": f"""SELECT item_id, token, len(token)::INT AS n, (len(array_to_string(before, '')) + coalesce(list_sum(list_transform(done, lambda x: len(x))), 0))::INT AS at FROM (
+        SELECT item_id, toks[i] AS token, gaps[1:i] AS before, toks[1:i - 1] AS done FROM (
+        SELECT item_id, toks, gaps, unnest(range(1, len(toks) + 1)) AS i FROM (
+        SELECT item_id, {_TOK.format("text")} AS toks, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}_]{{2,}}') AS gaps FROM benchmark)))""",
 }
