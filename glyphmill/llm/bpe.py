@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphmill.llm.common import bounded
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabularies cut text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -200,7 +202,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value, pattern)
-        for whole in batches:
+        for whole in bounded(batches, len(names)):
             for lo in range(0, whole.num_rows, ROWS_OUT):
                 batch = whole.slice(lo, ROWS_OUT)
                 texts = batch.column(len(names)).to_pylist()

@@ -1,42 +1,19 @@
-"""Shared plumbing of the training-data operators: work tables, grouped Arrow streams, components."""
+"""Shared plumbing of the training-data operators: work tables, grouped Arrow streams, bit tables, components."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.textnum import U64, mix
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir.
-
-    Where it is unset, a folder of this machine serves, but only in local mode;
-    on a cluster the executors would write to disks of their own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _local:
-        _local.append("file://" + tempfile.mkdtemp(prefix="glyphmill-"))
-        atexit.register(shutil.rmtree, _local[0].removeprefix("file://"), ignore_errors=True)
-    return _local[0]
-
-
-_local: list[str] = []
+from glyphmill.llm.textnum import U64, mix, slices
+from glyphmill.storage import Workspace
 
 
 def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
@@ -52,10 +29,6 @@ def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
-#: Arrow batches of whole texts are cut at so many bytes, unless the session sets a bound itself.
-BATCH_BYTES = 4 << 20
-
-
 def trim() -> None:
     """Gives freed memory of a Python worker back to the system, at the end of a task: idle workers stay around."""
     pa.default_memory_pool().release_unused()
@@ -65,42 +38,19 @@ def trim() -> None:
         pass
 
 
-def bound_batches(spark: SparkSession) -> None:
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{64 << 20}b":
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
-class Workspace:
-    """Intermediate tables in the shared folder.
-
-    A written table cuts the lineage: an executor that is lost later takes
-    nothing of it along.  `drop` removes a table that no later plan reads.
-    """
+#: Arrow batches of whole texts hold so many bytes, unless the session sets a bound of its own.
+BATCH_BYTES = 4 << 20
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        bound_batches(spark)
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self._n = 0
-
-    def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.root}/{self._n:03d}-{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._glyphmill_path = path
-        # shuffle files of a finished job stay on disk until the driver collects what refers to them
-        self.spark._jvm.System.gc()
-        return out
 
-    def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._glyphmill_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+def bounded(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of a column take about BATCH_BYTES each: what a task holds at once doesn't follow from the session."""
+    for batch in batches:
+        if batch.nbytes <= BATCH_BYTES:
+            yield batch
+            continue
+        size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy()
+        for lo, hi in slices(np.concatenate([[0], np.cumsum(size)]), BATCH_BYTES):
+            yield batch.slice(lo, hi - lo)
 
 
 def grouped(

@@ -48,7 +48,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import textnum
-from glyphmill.llm.common import bound_batches
 from glyphmill.llm.line_dedup import fold
 
 BITS = 18
@@ -148,7 +147,6 @@ def fit(
     epochs: int = 5, rate: float = 0.5, seed: int = 5,
 ) -> Model:
     """Trains and calibrates on at most `rows_per_label` labelled rows for each label, chosen by hash."""
-    bound_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     labelled = docs.select(F.col("lang").cast("string").alias("label"), text.alias("text"), F.xxhash64(text).alias("order")).where(
         "label is not null and text is not null and text <> ''"

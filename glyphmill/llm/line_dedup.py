@@ -195,9 +195,10 @@ def word_counts(base: DataFrame) -> np.ndarray:
 
 # ---- postings: packed columns, so that a row of the shuffle holds all that a task sends to one partition
 
-#: Sizes up to which 64 parity bits tell sets apart, and those for 128, 256, 512 and 1024 bits.
-_WIDTHS = np.array([80, 200, 460, 1000])
-_COLUMNS = [("word", U64), ("doc", np.int64), ("hash", np.uint32), ("number", np.uint32), ("set", U64), ("size", np.uint32), ("pos", np.uint32), ("parity", U64)]
+#: Sizes up to which 64 parity bits do, and those for 128, 256, 512 and 1024 bits; beyond, 2048.
+_WIDTHS = np.array([24, 80, 200, 460, 1000])
+_COLUMNS = [("word", U64), ("doc", np.int64), ("hash", np.uint32), ("number", np.uint32), ("set", U64), ("size", np.uint32), ("pos", np.uint32)]
+_ALL = [*(n for n, _ in _COLUMNS), "parity", "set2"]
 
 
 def width_class(size: np.ndarray) -> np.ndarray:
@@ -222,9 +223,9 @@ def wide_parity(w: np.ndarray, first: np.ndarray, size: np.ndarray) -> dict[int,
 
 
 def sketches(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
-    """Both halves of the digest, the 64-bit parity map and the wide maps of each set."""
+    """Both halves of the digest, the 64-bit parity map and the wide maps of each set; the parts of a wide map give the narrow one by xor."""
     w = textnum.mix(words + U64(0x632BE59BD9B4E019))
-    parity = np.concatenate([np.zeros(1, U64), np.bitwise_xor.accumulate(U64(1) << (w >> U64(58)))]) if len(w) else np.zeros(1, U64)
+    parity = np.concatenate([np.zeros(1, U64), np.bitwise_xor.accumulate(U64(1) << ((w & U64(63)) ^ U64(7)))]) if len(w) else np.zeros(1, U64)
     halves = []
     for x in (w, textnum.mix(w + U64(0x9FB21C651E98DF25))):
         sums = np.concatenate([np.zeros(1, U64), np.cumsum(x)])
@@ -241,6 +242,7 @@ def pack(c: dict[str, np.ndarray], wide: dict[int, np.ndarray], rows: np.ndarray
     body = [np.ascontiguousarray(np.diff(c[n][rows], prepend=c[n].dtype.type(0)) if n == "doc" else c[n][rows]).tobytes() for n, _ in _COLUMNS]
     body.append(c["set2"][rows[c["pos"][rows] == 0]].tobytes())
     kind = c["kind"][rows]
+    body.append(c["parity"][rows[kind == 0]].tobytes())
     body += [m[c["nth"][rows[kind == k]]].tobytes() for k, m in sorted(wide.items())]
     return struct.pack("<q", len(rows)) + zstandard.ZstdCompressor(level=1).compress(b"".join(body))
 
@@ -259,10 +261,14 @@ def unpack(blob: bytes) -> tuple[dict[str, np.ndarray], dict[int, np.ndarray]]:
     at += 8 * int(head.sum())
     wide = {}
     classes = width_class(c["size"])
-    for k in range(1, len(_WIDTHS) + 1):
-        m = int((classes == k).sum())
-        wide[k] = np.frombuffer(raw, U64, m << k, at).reshape(m, 1 << k)
-        at += wide[k].nbytes
+    c["parity"] = np.empty(n, U64)
+    for k in range(len(_WIDTHS) + 1):
+        rows = np.flatnonzero(classes == k)
+        maps = np.frombuffer(raw, U64, len(rows) << k, at).reshape(len(rows), 1 << k)
+        at += maps.nbytes
+        c["parity"][rows] = np.bitwise_xor.reduce(maps, axis=1)
+        if k:
+            wide[k] = maps
     return c, wide
 
 
@@ -277,12 +283,12 @@ def _numbered(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 def _join(parts: list[tuple[dict, dict]]) -> tuple[dict[str, np.ndarray], dict[int, np.ndarray]]:
-    c = {n: np.concatenate([p[0][n] for p in parts]) for n in [*(n for n, _ in _COLUMNS), "set2"]}
+    c = {n: np.concatenate([p[0][n] for p in parts]) for n in _ALL}
     return _numbered(c), {k: np.concatenate([p[1][k] for p in parts]) for k in parts[0][1]}
 
 
 def _take(c: dict[str, np.ndarray], wide: dict[int, np.ndarray], rows: np.ndarray) -> tuple[dict[str, np.ndarray], dict[int, np.ndarray]]:
-    out = {n: c[n][rows] for n in [*(n for n, _ in _COLUMNS), "set2"]}
+    out = {n: c[n][rows] for n in _ALL}
     maps = {k: m[c["nth"][rows[c["kind"][rows] == k]]] for k, m in wide.items()}
     return _numbered(out), maps
 
@@ -744,12 +750,13 @@ def removed_lines(docs: DataFrame, *, threshold: float = 0.8, min_tokens: int =
     first = ws.save(first.withColumn("hub", F.xxhash64(*Y)), "first")
     hits = ws.save(_matched(first, _sets(base, first, rarity, least), t), "hits")
 
-    left = found.join(hits, LINE, "left_anti")
-    others = left.select(*[F.col(n).alias(f"x_{n}") for n in LINE], *Y).union(
-        left.select(*LINE, F.explode(F.arrays_zip("z_doc", "z_at")).alias("z")).select(*LINE, "z.z_doc", "z.z_at")
-    ).distinct().join(first, X + Y, "left_anti")
-    # lines with the same closest candidate have others in common: they are verified together
-    others = ws.save(others.join(first.select(*X, "hub"), X), "others")
+    left = ws.save(found.join(hits, LINE, "left_anti").select("word", *LINE, *Y, "more", "z_doc", "z_at"), "left")
+    # lines of one family have their earliest candidate in common: their pairs are verified together
+    earliest = F.least(F.struct(*[F.col(n).alias(m) for n, m in zip(Y, LINE)]), F.array_min(F.arrays_zip(F.col("z_doc").alias("doc"), F.col("z_at").alias("at"))))
+    hub = left.groupBy(*LINE).agg(F.xxhash64(F.min(earliest)).alias("hub"))
+    every = F.concat(F.array(F.struct(*Y)), F.transform(F.arrays_zip("z_doc", "z_at"), lambda z: F.struct(z["z_doc"].alias("y_doc"), z["z_at"].alias("y_at"))))
+    pairs = left.join(hub, LINE).select("hub", *[F.col(n).alias(f"x_{n}") for n in LINE], F.explode(every).alias("y")).select("hub", *X, "y.*").distinct()
+    others = ws.save(pairs, "others")
     late = ws.save(_matched(others, _sets(base, others, rarity, least), t) if not others.isEmpty() else hits.limit(0), "late")
 
     hard = ws.save(left.where("more").select("word", *LINE).join(late, LINE, "left_anti").select("word", *LINE).distinct(), "hard")
@@ -758,7 +765,7 @@ def removed_lines(docs: DataFrame, *, threshold: float = 0.8, min_tokens: int =
     if not (hard.isEmpty() and hot.isEmpty()):
         out = out.union(_late_round(ws, base, rarity, hard, hot, t, least, together))
     out = ws.save(out.distinct(), "removed")
-    ws.drop(shared, first, hits, others, late, hard)
+    ws.drop(shared, first, hits, left, others, late, hard)
     return out
 
 

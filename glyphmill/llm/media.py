@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.common import BitTable, Workspace, bit_table, free_names
+from glyphmill.llm.common import BitTable, Workspace, bit_table, bounded, free_names
 
 HEADER_BYTES = 2048
 BLOCK_BYTES = 1 << 17  # of plain text, the most in a zstd block
@@ -223,7 +223,7 @@ def _place(folder: str, shard_bytes: int, wanted, names: list[str], stored_name:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, table, seen = _Shards(folder, shard_bytes), BitTable(wanted.value), set()
         try:
-            for batch in batches:
+            for batch in bounded(batches, 0):
                 digests = [hashlib.sha256(x.as_buffer()).digest() if x.is_valid else None for x in batch.column(0)]
                 again = table.has(np.array([_key(d) if d else 0 for d in digests], dtype=np.int64))
                 rows = []

@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 
 from glyphmill.llm import textnum
 from glyphmill.llm.bpe import PATTERN, VOCABULARY, broadcast_vocabulary, codec, compiled
-from glyphmill.llm.common import Workspace, trim
+from glyphmill.llm.common import Workspace, bounded, trim
 
 U64 = np.uint64
 #: Weights are kept in an array on the driver and in each task.
@@ -100,7 +100,7 @@ def _encode(shared, pattern: str):
         encoder, kind = compiled(shared.value, pattern), id_type(shared.value)
         task, so_far = TaskContext.get().partitionId(), {}
         pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in bounded(batches, 2):
             first, many, packed, keep = [], [], [], []
             for i, (source, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
                 text = text.as_py()

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm import textnum
 from glyphmill.llm.bpe import PATTERN, VOCABULARY, broadcast_vocabulary, codec
+from glyphmill.llm.common import bounded
 
 RULES = ("overlap", "start", "end")
 ROWS_AT_ONCE = 500
@@ -69,7 +70,7 @@ def count_by_section(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value, pattern)
-        for whole in batches:
+        for whole in bounded(batches, 1):
             for lo in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(lo, ROWS_AT_ONCE)
                 texts = batch.column(1)
