@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.common import bounded
+from glyphmill.llm.common import bound_batches, bounded
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabularies cut text before merging.
@@ -174,6 +174,7 @@ def read_vocabulary(path: str) -> bytes:
 
 
 def broadcast_vocabulary(spark: SparkSession, path: str):
+    bound_batches(spark)
     return spark.sparkContext.broadcast(read_vocabulary(path))
 
 

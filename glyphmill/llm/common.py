@@ -9,11 +9,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill import storage
 from glyphmill.llm.textnum import U64, mix, slices
-from glyphmill.storage import Workspace
 
 
 def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
@@ -42,6 +42,25 @@ def trim() -> None:
 BATCH_BYTES = 4 << 20
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's bound on the bytes of an Arrow batch, if it is the default of 64 MB.
+
+    Every operator of this part calls it, so what a task holds doesn't depend on
+    which of them ran before.  The setting stays: plans that are returned are run
+    later, by the caller.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{64 << 20}b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+class Workspace(storage.Workspace):
+    """Intermediate tables of an operator of this part."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
+        super().__init__(spark, name)
+
+
 def bounded(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of a column take about BATCH_BYTES each: what a task holds at once doesn't follow from the session."""
     for batch in batches:

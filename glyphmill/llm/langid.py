@@ -48,6 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import textnum
+from glyphmill.llm.common import bound_batches, free_names
 from glyphmill.llm.line_dedup import fold
 
 BITS = 18
@@ -147,6 +148,7 @@ def fit(
     epochs: int = 5, rate: float = 0.5, seed: int = 5,
 ) -> Model:
     """Trains and calibrates on at most `rows_per_label` labelled rows for each label, chosen by hash."""
+    bound_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     labelled = docs.select(F.col("lang").cast("string").alias("label"), text.alias("text"), F.xxhash64(text).alias("order")).where(
         "label is not null and text is not null and text <> ''"
@@ -249,6 +251,7 @@ def classify(model: Model, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, language, probability, accepted) of every row."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,12 +270,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs`, all columns, whose text isn't rejected."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    (text,) = free_names(docs.columns, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, _, ok = classify(shared.value, *textnum.string_buffers(batch.column(at)))
-            yield batch.filter(pa.array(ok))
+            _, _, ok = classify(shared.value, *textnum.string_buffers(batch.column(batch.num_columns - 1)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(ok))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(run, docs.schema)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import textnum
+from glyphmill.llm.common import free_names
 
 U64 = np.uint64
 
@@ -67,19 +68,25 @@ def shard_of(digest: Column, shards: int) -> Column:
     return run(digest)
 
 
-def assign_shards(rows: DataFrame, key: list[str], shards: int, *, appended: int = 0, gather: bool = True) -> DataFrame:
+def assign_shards(rows: DataFrame, key: list[str], shards: int, *, appended: int = 0, gather: bool = True, split: int = 16) -> DataFrame:
     """`rows` with shard; with `appended` also shard_after and moved.
 
-    `gather` puts the rows of a shard into one partition each, ready to write.
+    `gather` puts the rows of a shard together, ready to write: into one of
+    `split` parts each, by a hash of the whole row, so that neither a large shard
+    nor the rows without a key make one large task.
     """
     made = ["shard"] + ["shard_after", "moved"] * bool(appended)
     names = [c for c in rows.columns if c not in made]
+    now, after, part = free_names(rows.columns, "shard", "after", "part")
     digest = key_digest(*key)
-    out = rows.select(*[F.col(f"`{c}`") for c in names], shard_of(digest, shards).alias("__gm_shard"), *(
-        [shard_of(digest, shards + appended).alias("__gm_after")] if appended else []
+    cols = [F.col(f"`{c}`") for c in names]
+    hashable = [F.col(f"`{c}`") for c in names if "map<" not in rows.schema[c].dataType.simpleString()]
+    out = rows.select(
+        *cols, shard_of(digest, shards).alias(now), *([shard_of(digest, shards + appended).alias(after)] if appended else []),
+        *([F.pmod(F.xxhash64(*hashable), F.lit(split)).alias(part)] if gather else []),
+    )
+    if gather:
+        out = out.repartition(now, part)
+    return out.select(*cols, F.col(now).alias("shard"), *(
+        [F.col(after).alias("shard_after"), (F.col(now) != F.col(after)).alias("moved")] if appended else []
     ))
-    out = out.select(*[F.col(f"`{c}`") for c in names], F.col("__gm_shard").alias("shard"), *(
-        [F.col("__gm_after").alias("shard_after"), (F.col("__gm_shard") != F.col("__gm_after")).alias("moved")]
-        if appended else []
-    ))
-    return out.repartition("shard") if gather else out
