@@ -52,6 +52,8 @@ U64 = np.uint64
 #: Weights are kept in an array on the driver and in each task.
 MOST_SOURCES = 1 << 16
 BATCH_BYTES = 4 << 20
+#: Rows of the table of offsets, of some 40 bytes each, that are broadcast.
+MOST_BROADCAST_ROWS = 500_000
 
 
 def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -293,6 +295,9 @@ def _mix(
     bases = tasks.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("name"))).select(
         "source_no", F.col("source").alias("of"), F.col("task").alias("in"), F.expr(before.format("tokens", "task")).alias("base")
     )
+    # a row for each source of each task, beside the texts of that task; beyond the bound, texts are shuffled to them
+    if tasks.count() <= MOST_BROADCAST_ROWS:
+        bases = F.broadcast(bases)
     placed = encoded.join(bases, F.col("source").eqNullSafe(F.col("of")) & (F.col("task") == F.col("in")))
     kept = [f"e{j}" for j in range(len(extra))] if texts else ["doc"]
     placed = placed.select("source_no", "base", "first", "n", "ids", *kept)
