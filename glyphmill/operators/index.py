@@ -39,11 +39,11 @@ class Settings:
     snippet_tokens: int = 80
 
 
-def corpus(docs: DataFrame, s: Settings, *, doc_id: str = "doc_id", body: str = "text", title: Column | None = None, url: Column | None = None) -> DataFrame:
-    """Lays documents out in groups and shards."""
+def corpus(docs: DataFrame, s: Settings, *, doc_id: str = "doc_id", body: str = "text", title: Column | None = None, url: Column | None = None, group: Column | None = None) -> DataFrame:
+    """Lays documents out in groups, by their number if `group` doesn't tell, and shards."""
     key = F.col(doc_id).cast("long")
     return docs.select(
-        F.pmod(key, F.lit(s.groups)).cast("int").alias("group_id"), F.pmod(X.fnv1a(key.cast("string")), F.lit(s.shards)).cast("int").alias("shard"),
+        (F.pmod(key, F.lit(s.groups)).cast("int") if group is None else group).alias("group_id"), F.pmod(X.fnv1a(key.cast("string")), F.lit(s.shards)).cast("int").alias("shard"),
         key.alias("doc_id"), (F.lit("") if title is None else title).alias("title"), (F.lit("") if url is None else url).alias("url"),
         F.col(body).alias("body"),
     ).where("doc_id is not null and body is not null")
