@@ -362,12 +362,12 @@ def _packed(held: list, parts: int) -> pa.RecordBatch:
 
 # ---- candidates in the groups of words
 
-#: Kind 0: a line whose set came earlier.  1: a line's closest candidate in a word's group, its next ones (z), and whether
-#: it has more.  3: a hot word and the number of its postings.
-_SHARED = "kind byte, word long, n long, doc long, at long, y_doc long, y_at long, slack int, more boolean, z_doc array<bigint>, z_at array<bigint>"
+#: Kind 0: a line whose set came earlier.  1: a line's closest candidate in a word's group, its next ones (z), whether it
+#: has more, and the first line of the group (lead).  3: a hot word and the number of its postings.
+_SHARED = "kind byte, word long, n long, doc long, at long, y_doc long, y_at long, slack int, more boolean, lead_doc long, lead_at long, z_doc array<bigint>, z_at array<bigint>"
 _ARROW = {
     "kind": pa.int8(), "word": pa.int64(), "n": pa.int64(), "doc": pa.int64(), "at": pa.int64(), "y_doc": pa.int64(), "y_at": pa.int64(),
-    "slack": pa.int32(), "more": pa.bool_(), "z_doc": pa.list_(pa.int64()), "z_at": pa.list_(pa.int64()),
+    "slack": pa.int32(), "more": pa.bool_(), "lead_doc": pa.int64(), "lead_at": pa.int64(), "z_doc": pa.list_(pa.int64()), "z_at": pa.list_(pa.int64()),
 }
 
 
@@ -547,8 +547,12 @@ def _share_words(c: dict[str, np.ndarray], wide: dict[int, np.ndarray], t: float
     ends = np.concatenate([[0], np.cumsum(rest)])[np.append(lead, len(x))]
     lists = {f"z_{n}": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(c[n][y[rest]])) for n in LINE}
     i, j = x[lead], y[lead]
+    order = np.lexsort((rank, c["key"] >> 44))
+    group = (c["key"] >> 44)[order]
+    start = np.flatnonzero(_new(group))
+    head = order[start][np.searchsorted(group[start], c["key"][i] >> 44)]
     yield from _rows(
-        1, len(i), word=pa.array(c["word"][i].view(np.int64)), more=pa.array(more[i]), slack=pa.array(slack[lead].astype(np.int32)),
+        1, len(i), lead_doc=pa.array(c["doc"][head]), lead_at=pa.array(c["at"][head]), word=pa.array(c["word"][i].view(np.int64)), more=pa.array(more[i]), slack=pa.array(slack[lead].astype(np.int32)),
         **{n: pa.array(c[n][i]) for n in LINE}, **{f"y_{n}": pa.array(c[n][j]) for n in LINE}, **lists,
     )
 
@@ -640,7 +644,7 @@ def _verify(t: float):
 
 def _matched(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """Lines x of the pairs (x, y, hub) whose Jaccard with y reaches t; a set travels once for each hub of its pairs."""
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / 20000).cast("int").alias("parts"))
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / 50000).cast("int").alias("parts"))
     cut = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64(*X), "parts").cast("int").alias("part"), *X, *Y)
     lines = cut.select("hub", "part", *[F.col(n).alias(m) for n, m in zip(X, LINE)]).union(cut.select("hub", "part", *Y)).distinct()
     whole = lines.join(sets, LINE).select("hub", "part", *LINE, F.lit(None).cast("long").alias("y_doc"), F.lit(None).cast("long").alias("y_at"), "words")
@@ -670,7 +674,7 @@ def _rescan(rarity, wanted, t: float, least: tuple[int, int]):
 
 
 def _compare_all(t: float):
-    """Open lines of each (word, cell) that match an earlier line of it; rows are (word, cell, doc, at, open, words) and sorted."""
+    """Open lines of each (hub, cell) that match an earlier line of it; rows are (hub, cell, doc, at, open, words), by hub and cell."""
     schema = pa.schema([("doc", pa.int64()), ("at", pa.int64())])
 
     def fn(table: pa.Table) -> pa.Table:
@@ -680,7 +684,7 @@ def _compare_all(t: float):
         words = raw.view(U64)
         set1, _, parity, wide = sketches(words, off[:-1], size)
         at = table["at"].to_numpy()
-        group = np.repeat(np.arange(len(bounds := group_bounds(table, ["word", "cell"])) - 1), np.diff(bounds))
+        group = np.repeat(np.arange(len(bounds := group_bounds(table, ["hub", "cell"])) - 1), np.diff(bounds))
         c = {
             "word": group.astype(U64), "doc": table["doc"].to_numpy(), "hash": (at >> 32).astype(np.int32).view(np.uint32), "number": at.astype(np.uint32), "size": size,
             "pos": np.zeros(len(at), np.int64), "parity": parity, "set2": set1, "set": set1,
@@ -697,25 +701,30 @@ def _compare_all(t: float):
             matched[x[hit]] = True
         return pa.table({n: c[n][matched] for n in LINE})
 
-    return grouped(["word", "cell"], fn, schema)
+    return grouped(["hub", "cell"], fn, schema)
 
 
 def _late_round(ws: Workspace, base: DataFrame, rarity, hard: DataFrame, hot: DataFrame, t: float, least: tuple[int, int], together: int) -> DataFrame:
-    """Lines that match any earlier line: of `hard` (word, doc, at), and all of the hot words' groups."""
-    spark = ws.spark
-    wanted = spark.sparkContext.broadcast(bit_table(hard.select("word").union(hot.select("word")), ["word"]))
+    """Lines that match any earlier line of their groups: of `hard` (word, doc, at, hub), and of the hot words' groups.
+
+    A line with a word of a hub meets the hub's hard lines once, whatever the
+    number of such words; a hot word is a hub of its own, cut into blocks.
+    """
+    wanted = ws.spark.sparkContext.broadcast(bit_table(hard.select("word").union(hot.select("word")), ["word"]))
     rows = base.mapInArrow(_rescan(rarity, wanted, t, least), "word long, doc long, at long, words binary")
-    blocks = hot.select("word", F.ceil(F.col("n") / (together // 2)).cast("int").alias("blocks"))
-    rows = rows.join(hard.withColumn("hard", F.lit(True)), ["word", *LINE], "left").join(blocks, "word", "left")
-    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(0)))
-    mine = F.pmod(F.xxhash64(*LINE), F.greatest("blocks", F.lit(1))).cast("int")
+    homes = hard.select("word", "hub", F.lit(0).alias("blocks")).distinct().union(
+        hot.select("word", F.xxhash64("word", F.lit("hot")).alias("hub"), F.ceil(F.col("n") / (together // 2)).cast("int").alias("blocks"))
+    )
+    lines = rows.join(homes, "word").groupBy("hub", "blocks", *LINE).agg(F.first("words").alias("words"))
+    asked = hard.select("hub", *LINE).distinct().withColumn("hard", F.lit(True))
+    many = F.greatest("blocks", F.lit(1))
     cells = (
-        rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
+        lines.join(asked, ["hub", *LINE], "left").withColumn("open", (F.col("blocks") > 0) | F.coalesce("hard", F.lit(False)))
+        .withColumn("mine", F.pmod(F.xxhash64(*LINE), many).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
         .withColumn("cell", F.least("mine", "other").cast("long") * F.lit(1 << 32) + F.greatest("mine", "other"))
-        .withColumn("open", (F.col("blocks") > 0) | F.coalesce("hard", F.lit(False)))
     )
     return (
-        cells.select("word", "cell", *LINE, "open", "words").repartition("word", "cell").sortWithinPartitions("word", "cell")
+        cells.select("hub", "cell", *LINE, "open", "words").repartition("hub", "cell").sortWithinPartitions("hub", "cell")
         .mapInArrow(_compare_all(t), "doc long, at long").distinct()
     )
 
@@ -750,16 +759,18 @@ def removed_lines(docs: DataFrame, *, threshold: float = 0.8, min_tokens: int =
     first = ws.save(first.withColumn("hub", F.xxhash64(*Y)), "first")
     hits = ws.save(_matched(first, _sets(base, first, rarity, least), t), "hits")
 
-    left = ws.save(found.join(hits, LINE, "left_anti").select("word", *LINE, *Y, "more", "z_doc", "z_at"), "left")
-    # lines of one family have their earliest candidate in common: their pairs are verified together
-    earliest = F.least(F.struct(*[F.col(n).alias(m) for n, m in zip(Y, LINE)]), F.array_min(F.arrays_zip(F.col("z_doc").alias("doc"), F.col("z_at").alias("at"))))
-    hub = left.groupBy(*LINE).agg(F.xxhash64(F.min(earliest)).alias("hub"))
+    left = ws.save(found.join(hits, LINE, "left_anti").select("word", *LINE, *Y, "more", "lead_doc", "lead_at", "z_doc", "z_at"), "left")
+    # lines of one family have their first group's first line in common: they are verified together
+    hub = left.groupBy(*LINE).agg(F.min(F.struct("lead_doc", "lead_at")).alias("lead")).select(*LINE, F.xxhash64("lead").alias("hub"))
+    family = ws.save(left.join(hub, LINE), "families")
+    ws.drop(left)
+    left = family
     every = F.concat(F.array(F.struct(*Y)), F.transform(F.arrays_zip("z_doc", "z_at"), lambda z: F.struct(z["z_doc"].alias("y_doc"), z["z_at"].alias("y_at"))))
-    pairs = left.join(hub, LINE).select("hub", *[F.col(n).alias(f"x_{n}") for n in LINE], F.explode(every).alias("y")).select("hub", *X, "y.*").distinct()
+    pairs = left.select("hub", *[F.col(n).alias(f"x_{n}") for n in LINE], F.explode(every).alias("y")).select("hub", *X, "y.*").distinct()
     others = ws.save(pairs, "others")
     late = ws.save(_matched(others, _sets(base, others, rarity, least), t) if not others.isEmpty() else hits.limit(0), "late")
 
-    hard = ws.save(left.where("more").select("word", *LINE).join(late, LINE, "left_anti").select("word", *LINE).distinct(), "hard")
+    hard = ws.save(left.where("more").select("word", *LINE, "hub").join(late, LINE, "left_anti").select("word", *LINE, "hub").distinct(), "hard")
     hot = shared.where("kind = 3").select("word", "n")
     out = repeated.union(hits).union(late)
     if not (hard.isEmpty() and hot.isEmpty()):
