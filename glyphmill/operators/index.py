@@ -38,6 +38,13 @@ class Settings:
     verbatim_term: float = 2.0
     snippet_tokens: int = 80
 
+    def __post_init__(self) -> None:
+        for name in ("groups", "shards", "postings_cap", "hits", "page_size", "snippet_sentences", "snippet_tokens"):
+            if getattr(self, name) < 1:
+                raise ValueError(f"{name} must be at least 1")
+        if not 0 <= self.blur_weight <= 1:
+            raise ValueError("blur_weight must lie between 0 and 1")
+
 
 def corpus(docs: DataFrame, s: Settings, *, doc_id: str = "doc_id", body: str = "text", title: Column | None = None, url: Column | None = None, group: Column | None = None) -> DataFrame:
     """Lays documents out in groups, by their number if `group` doesn't tell, and shards."""

@@ -151,3 +151,9 @@ def test_groups_are_dealt_in_turn(spark):
     order = sorted(r[0] for r in rows)
     assert {r["page_id"]: (r["group_id"], r["local_id"]) for r in got} == {p: (i % 3, i // 3) for i, p in enumerate(order)}
     assert I.assign_groups(spark.createDataFrame([], "page_id long"), "page_id", 3).count() == 0
+
+
+@pytest.mark.parametrize("wrong", [{"groups": 0}, {"shards": -1}, {"hits": 0}, {"blur_weight": 2.0}])
+def test_settings_are_checked(wrong):
+    with pytest.raises(ValueError):
+        I.Settings(**wrong)
