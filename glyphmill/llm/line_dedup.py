@@ -362,12 +362,12 @@ def _packed(held: list, parts: int) -> pa.RecordBatch:
 
 # ---- candidates in the groups of words
 
-#: Kind 0: a line whose set came earlier.  1: a line's closest candidate in a word's group, its next ones (z), whether it
-#: has more, and the first line of the group (lead).  3: a hot word and the number of its postings.
-_SHARED = "kind byte, word long, n long, doc long, at long, y_doc long, y_at long, slack int, more boolean, lead_doc long, lead_at long, z_doc array<bigint>, z_at array<bigint>"
+#: Kind 0: a line whose set came earlier.  1: a line's closest candidate in a word's group, its next ones (z), and whether
+#: it has more.  3: a hot word and the number of its postings.
+_SHARED = "kind byte, word long, n long, doc long, at long, y_doc long, y_at long, slack int, more boolean, z_doc array<bigint>, z_at array<bigint>"
 _ARROW = {
     "kind": pa.int8(), "word": pa.int64(), "n": pa.int64(), "doc": pa.int64(), "at": pa.int64(), "y_doc": pa.int64(), "y_at": pa.int64(),
-    "slack": pa.int32(), "more": pa.bool_(), "lead_doc": pa.int64(), "lead_at": pa.int64(), "z_doc": pa.list_(pa.int64()), "z_at": pa.list_(pa.int64()),
+    "slack": pa.int32(), "more": pa.bool_(), "z_doc": pa.list_(pa.int64()), "z_at": pa.list_(pa.int64()),
 }
 
 
@@ -547,12 +547,8 @@ def _share_words(c: dict[str, np.ndarray], wide: dict[int, np.ndarray], t: float
     ends = np.concatenate([[0], np.cumsum(rest)])[np.append(lead, len(x))]
     lists = {f"z_{n}": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(c[n][y[rest]])) for n in LINE}
     i, j = x[lead], y[lead]
-    order = np.lexsort((rank, c["key"] >> 44))
-    group = (c["key"] >> 44)[order]
-    start = np.flatnonzero(_new(group))
-    head = order[start][np.searchsorted(group[start], c["key"][i] >> 44)]
     yield from _rows(
-        1, len(i), lead_doc=pa.array(c["doc"][head]), lead_at=pa.array(c["at"][head]), word=pa.array(c["word"][i].view(np.int64)), more=pa.array(more[i]), slack=pa.array(slack[lead].astype(np.int32)),
+        1, len(i), word=pa.array(c["word"][i].view(np.int64)), more=pa.array(more[i]), slack=pa.array(slack[lead].astype(np.int32)),
         **{n: pa.array(c[n][i]) for n in LINE}, **{f"y_{n}": pa.array(c[n][j]) for n in LINE}, **lists,
     )
 
@@ -729,6 +725,15 @@ def _late_round(ws: Workspace, base: DataFrame, rarity, hard: DataFrame, hot: Da
     )
 
 
+def _families(pairs: DataFrame) -> DataFrame:
+    """(x, hub): lines that share candidates, or candidates' other lines, mostly have the same hub, so that a set travels to few of them."""
+    p = pairs.select("x", "y")
+    at_y = p.groupBy("y").agg(F.min("x").alias("hub"))
+    at_x = p.join(at_y, "y").groupBy("x").agg(F.min("hub").alias("hub"))
+    at_y = p.join(at_x, "x").groupBy("y").agg(F.min("hub").alias("hub"))
+    return p.join(at_y, "y").groupBy("x").agg(F.min("hub").alias("hub"))
+
+
 def text_hash(text: Column) -> Column:
     return F.hash(text)
 
@@ -759,24 +764,22 @@ def removed_lines(docs: DataFrame, *, threshold: float = 0.8, min_tokens: int =
     first = ws.save(first.withColumn("hub", F.xxhash64(*Y)), "first")
     hits = ws.save(_matched(first, _sets(base, first, rarity, least), t), "hits")
 
-    left = ws.save(found.join(hits, LINE, "left_anti").select("word", *LINE, *Y, "more", "lead_doc", "lead_at", "z_doc", "z_at"), "left")
-    # lines of one family have their first group's first line in common: they are verified together
-    hub = left.groupBy(*LINE).agg(F.min(F.struct("lead_doc", "lead_at")).alias("lead")).select(*LINE, F.xxhash64("lead").alias("hub"))
-    family = ws.save(left.join(hub, LINE), "families")
-    ws.drop(left)
-    left = family
+    left = ws.save(found.join(hits, LINE, "left_anti").select("word", *LINE, *Y, "more", "z_doc", "z_at"), "left")
     every = F.concat(F.array(F.struct(*Y)), F.transform(F.arrays_zip("z_doc", "z_at"), lambda z: F.struct(z["z_doc"].alias("y_doc"), z["z_at"].alias("y_at"))))
-    pairs = left.select("hub", *[F.col(n).alias(f"x_{n}") for n in LINE], F.explode(every).alias("y")).select("hub", *X, "y.*").distinct()
-    others = ws.save(pairs, "others")
-    late = ws.save(_matched(others, _sets(base, others, rarity, least), t) if not others.isEmpty() else hits.limit(0), "late")
-
-    hard = ws.save(left.where("more").select("word", *LINE, "hub").join(late, LINE, "left_anti").select("word", *LINE, "hub").distinct(), "hard")
+    pairs = left.select(*[F.col(n).alias(f"x_{n}") for n in LINE], F.explode(every).alias("y")).select(*X, "y.*").distinct()
+    others = ws.save(pairs.withColumn("x", F.xxhash64(*X)).withColumn("y", F.xxhash64(*Y)), "others")
+    hub = ws.save(_families(others), "families")
+    others_by_hub = others.join(hub, "x").select("hub", *X, *Y)
+    late = ws.save(_matched(others_by_hub, _sets(base, others, rarity, least), t) if not others.isEmpty() else hits.limit(0), "late")
+
+    hard = left.where("more").select("word", *LINE).join(late, LINE, "left_anti").withColumn("x", F.xxhash64(*LINE)).join(hub, "x")
+    hard = ws.save(hard.select("word", *LINE, "hub").distinct(), "hard")
     hot = shared.where("kind = 3").select("word", "n")
     out = repeated.union(hits).union(late)
     if not (hard.isEmpty() and hot.isEmpty()):
         out = out.union(_late_round(ws, base, rarity, hard, hot, t, least, together))
     out = ws.save(out.distinct(), "removed")
-    ws.drop(shared, first, hits, left, others, late, hard)
+    ws.drop(shared, first, hits, left, others, hub, late, hard)
     return out
 
 
