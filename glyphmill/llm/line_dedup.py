@@ -14,16 +14,18 @@ stays or not.
 1. Repeats: lines with the same set, told by the set's size, its rarest word and
    a 128-bit digest of its words, are found in the batch of documents and then
    in the group of their rarest word.  Only the first of them joins.
-2. In the group of each prefix word, every line keeps its `MOST` closest earlier
-   candidates.  The closest of all groups is verified on the whole sets first,
-   and the others for the lines without a match after that.
-3. A line that has no match yet and had more candidates in a group meets all
-   earlier lines of that group, whole sets in hand.  So do the lines of groups
-   above `HOT` lines, which aren't gathered into one task at all: they are cut
-   into blocks, and all pairs of blocks are compared.
-
-So the result is exact, a large group of copies costs no comparison for each
-pair, and what is shuffled follows the number of words.
+2. In the group of each prefix word, every line keeps its closest earlier
+   candidate, and the candidates are joined to components: pairs inside one
+   aren't looked at again once a line has `MOST`.  The closest of all groups is
+   verified on the whole sets.
+3. The components of all groups that share lines are one.  Where a line has no
+   match yet and had other candidates, it meets all earlier lines of its
+   component, whole sets in hand, each of which travels there once.
+4. Groups above `HOT` lines aren't gathered into one task: they are cut into
+   blocks, and all pairs of blocks are compared; so are components above it.
+
+So the result is exact, no row is shuffled for each pair of near-copies, and
+what is shuffled follows the number of words.
 
 Defined results
 ---------------
@@ -53,7 +55,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import textnum
-from glyphmill.llm.common import BitTable, Workspace, bit_table, free_names, group_bounds, grouped, may_have, trim
+from glyphmill.llm.common import BitTable, Workspace, bit_table, connected_components, free_names, group_bounds, grouped, may_have, trim
 
 U64 = np.uint64
 CELLS = 1 << 20  # of the hashed word counts: 1 MB of classes, whatever the data
@@ -66,7 +68,7 @@ PART_BYTES = 16 << 20  # of postings in a partition
 HOLD = 1 << 20  # postings of a partition before repeats are dropped from memory
 HOT = 1 << 15  # lines of a group that are compared in one task
 CHUNK = 1 << 16  # postings that are worked on at once; a larger group stands alone
-MOST = 16  # candidates of a line that a group keeps
+MOST = 16  # candidates of a line among which a group looks for the closest
 GONE = 0xFFFFFFFF  # place of a posting that stands for a line removed already
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -205,10 +207,10 @@ def width_class(size: np.ndarray) -> np.ndarray:
     return np.searchsorted(_WIDTHS, size)
 
 
-def wide_parity(w: np.ndarray, first: np.ndarray, size: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Of each class of larger sets: their numbers, and a parity map each."""
+def wide_parity(w: np.ndarray, first: np.ndarray, size: np.ndarray, kind: np.ndarray | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each class of larger sets, or of the given classes: their numbers, and a parity map each."""
     out = {}
-    kind = width_class(size)
+    kind = width_class(size) if kind is None else kind
     for k in range(1, len(_WIDTHS) + 1):
         rows = np.flatnonzero(kind == k)
         if not len(rows):
@@ -362,12 +364,12 @@ def _packed(held: list, parts: int) -> pa.RecordBatch:
 
 # ---- candidates in the groups of words
 
-#: Kind 0: a line whose set came earlier.  1: a line's closest candidate in a word's group, its next ones (z), and whether
-#: it has more.  3: a hot word and the number of its postings.
-_SHARED = "kind byte, word long, n long, doc long, at long, y_doc long, y_at long, slack int, more boolean, z_doc array<bigint>, z_at array<bigint>"
+#: Kind 0: a line whose set came earlier.  1: a line's closest candidate in a word's group, and whether it has more.
+#: 2: two lines of a component that closest candidates don't join.  3: a hot word and the number of its postings.
+_SHARED = "kind byte, word long, n long, doc long, at long, y_doc long, y_at long, slack int, more boolean"
 _ARROW = {
     "kind": pa.int8(), "word": pa.int64(), "n": pa.int64(), "doc": pa.int64(), "at": pa.int64(), "y_doc": pa.int64(), "y_at": pa.int64(),
-    "slack": pa.int32(), "more": pa.bool_(), "z_doc": pa.list_(pa.int64()), "z_at": pa.list_(pa.int64()),
+    "slack": pa.int32(), "more": pa.bool_(),
 }
 
 
@@ -492,65 +494,88 @@ def fits(c: dict[str, np.ndarray], wide: dict[int, np.ndarray], x: np.ndarray, y
     return live[ok], slack[ok]
 
 
-def candidates(c, wide, key: np.ndarray, open_rows: np.ndarray, t: float, most: int, seen=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(line, earlier line of its group that passes the filters, slack) by blocks, and the lines that have more than `most` or were `seen`.
+class Components:
+    """Rows joined by pairs; `label` has the first row of each one's component."""
+
+    def __init__(self, many: int):
+        self.label = np.arange(many)
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> None:
+        while True:
+            a, b = self.label[x], self.label[y]
+            apart = a != b
+            if not apart.any():
+                return
+            x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+            np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
+            while ((up := self.label[self.label]) != self.label).any():
+                self.label = up
+
 
-    All are rows in the order of `key`.  A line is dropped once it has `most`, or once `seen` says so.
+def candidates(c, wide, key: np.ndarray, open_rows: np.ndarray, t: float, *, seen=None, joined: Components | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(line, earlier line of its group that passes the filters, slack) by blocks; rows in the order of `key`.
+
+    A line is dropped once `seen` says so.  With `joined`, pairs of a component
+    are left out for lines that have `MOST` already.
     """
     found = np.zeros(len(key), np.int64)
-    more = np.zeros(len(key), dtype=bool)
     rank = key & ((1 << 32) - 1)
     for d in (0, -1, 1):
         base = key - rank + (d << 32)
         low, high = np.searchsorted(key, base), np.searchsorted(key, base + rank)
         x = open_rows[low[open_rows] < high[open_rows]]
-        done = (found[x] >= most) | (seen[x] if seen is not None else False)
-        more[x[done]] = True
-        x = x[~done]
         at = low[x]
-        while len(x):
+        while True:
+            if seen is not None:
+                left = ~seen[x]
+                x, at = x[left], at[left]
+            if not len(x):
+                break
             many = max(1, CHUNK // len(x))
             i, j = np.repeat(x, many), (at[:, None] + np.arange(many)).reshape(-1)
             inside = j < high[i]
             i, j = i[inside], j[inside]
+            if joined is not None:
+                use = (found[i] < MOST) | (joined.label[i] != joined.label[j])
+                i, j = i[use], j[use]
             live, slack = fits(c, wide, i, j, t)
-            yield i[live], j[live], slack, more
-            np.add.at(found, i[live], 1)
+            i, j = i[live], j[live]
+            if joined is not None:
+                np.add.at(found, i, 1)
+                joined.join(i, j)
+            yield i, j, slack
             at = at + many
             left = at < high[x]
-            done = (found[x] >= most) | (seen[x] if seen is not None else False)
-            more[x[left & done]] = True
-            x, at = x[left & ~done], at[left & ~done]
+            x, at = x[left], at[left]
 
 
 def _share_words(c: dict[str, np.ndarray], wide: dict[int, np.ndarray], t: float) -> Iterator[pa.RecordBatch]:
-    """The closest candidates of each line in each group, for postings grouped by word."""
+    """The closest candidate of each line in each group, and what joins its component, for postings grouped by word."""
     order = _order(c, t)
     c = {n: v[order] for n, v in c.items()}
-    xs, ys, slacks, more = [], [], [], np.zeros(len(order), dtype=bool)
-    for x, y, slack, more in candidates(c, wide, c["key"], np.arange(len(order)), t, MOST):
-        xs.append(x)
-        ys.append(y)
-        slacks.append(slack)
-    if not xs:
-        return
-    x, y, slack = (np.concatenate(v) for v in (xs, ys, slacks))
-    if not len(x):
-        return
+    joined = Components(len(order))
     rank = c["key"] & ((1 << 32) - 1)
-    order = np.lexsort((rank[y], -slack, x))
-    x, y, slack = x[order], y[order], slack[order]
-    lead = np.flatnonzero(_new(x))
-    nth = np.arange(len(x)) - np.repeat(lead, np.diff(np.append(lead, len(x))))
-    more[x[nth >= MOST]] = True
-    rest = (nth > 0) & (nth < MOST)
-    ends = np.concatenate([[0], np.cumsum(rest)])[np.append(lead, len(x))]
-    lists = {f"z_{n}": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(c[n][y[rest]])) for n in LINE}
-    i, j = x[lead], y[lead]
-    yield from _rows(
-        1, len(i), word=pa.array(c["word"][i].view(np.int64)), more=pa.array(more[i]), slack=pa.array(slack[lead].astype(np.int32)),
-        **{n: pa.array(c[n][i]) for n in LINE}, **{f"y_{n}": pa.array(c[n][j]) for n in LINE}, **lists,
-    )
+    best, slacks, found = np.full(len(order), -1), np.full(len(order), -1), np.zeros(len(order), np.int64)
+    for x, y, slack in candidates(c, wide, c["key"], np.arange(len(order)), t, joined=joined):
+        if not len(x):
+            continue
+        np.add.at(found, x, 1)
+        near = np.lexsort((rank[y], -slack, x))
+        lead = near[_new(x[near])]
+        x, y, slack = x[lead], y[lead], slack[lead]
+        closer = (slack > slacks[x]) | ((slack == slacks[x]) & (rank[y] < rank[best[x]]))
+        best[x[closer]], slacks[x[closer]] = y[closer], slack[closer]
+    i = np.flatnonzero(best >= 0)
+    if not len(i):
+        return
+    j = best[i]
+    pair = lambda i, j: {n: pa.array(c[n][i]) for n in LINE} | {f"y_{n}": pa.array(c[n][j]) for n in LINE}
+    yield from _rows(1, len(i), word=pa.array(c["word"][i].view(np.int64)), more=pa.array(found[i] > 1), slack=pa.array(slacks[i].astype(np.int32)), **pair(i, j))
+    trees = Components(len(order))
+    trees.join(i, j)
+    tops = np.flatnonzero((trees.label == np.arange(len(order))) & (joined.label != np.arange(len(order))))
+    if len(tops):
+        yield from _rows(2, len(tops), **pair(tops, joined.label[tops]))
 
 
 # ---- verification
@@ -669,54 +694,83 @@ def _rescan(rarity, wanted, t: float, least: tuple[int, int]):
     return run
 
 
+def _sharp(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Parity maps of 2048 bits for all sets: next to the whole number of words that are in one of two sets only."""
+    w = textnum.mix(words + U64(0x632BE59BD9B4E019))
+    top = len(_WIDTHS)
+    out = [np.zeros((0, 1 << top), U64)]
+    for lo in range(0, len(size), 2048):  # counts of cells take 16 KB a set meanwhile
+        part = slice(lo, lo + 2048)
+        out.append(wide_parity(w, first[part], size[part], np.full(len(size[part]), top))[top][1])
+    return np.concatenate(out)
+
+
 def _compare_all(t: float):
-    """Open lines of each (hub, cell) that match an earlier line of it; rows are (hub, cell, doc, at, open, words), by hub and cell."""
+    """Open lines of each (hub, cell) that match an earlier line of it; rows are (hub, cell, doc, at, open, words), by hub and cell.
+
+    Pairs that share a word of their prefixes, which `words` begin with, pass the same filters as in the groups of words.
+    """
     schema = pa.schema([("doc", pa.int64()), ("at", pa.int64())])
 
     def fn(table: pa.Table) -> pa.Table:
         raw, off = textnum.string_buffers(table["words"])
         codes, off = _coded(raw, off)
-        size = np.diff(off)
+        size, first = np.diff(off), off[:-1]
         words = raw.view(U64)
-        set1, _, parity, wide = sketches(words, off[:-1], size)
-        at = table["at"].to_numpy()
-        group = np.repeat(np.arange(len(bounds := group_bounds(table, ["hub", "cell"])) - 1), np.diff(bounds))
-        c = {
-            "word": group.astype(U64), "doc": table["doc"].to_numpy(), "hash": (at >> 32).astype(np.int32).view(np.uint32), "number": at.astype(np.uint32), "size": size,
-            "pos": np.zeros(len(at), np.int64), "parity": parity, "set2": set1, "set": set1,
-        }
-        c = _numbered(c)
-        order = _order(c, t)
-        c = {n: v[order] for n, v in c.items()} | {"row": order}
+        _, _, parity, wide = sketches(words, first, size)
+        sharp = _sharp(words, first, size)
+        doc, at = table["doc"].to_numpy(), table["at"].to_numpy()
+        asked = table["open"].to_numpy(zero_copy_only=False)
+        nth = np.zeros(len(at), np.int64)
+        for rows, _ in wide.values():
+            nth[rows] = np.arange(len(rows))
         maps = {k: m for k, (_, m) in wide.items()}
-        matched = np.zeros(len(order), dtype=bool)
-        # where a line stands in its set isn't known here: the positional filter passes all with place 0
-        todo = np.flatnonzero(table["open"].to_numpy(zero_copy_only=False)[order])
-        for x, y, _, _ in candidates(c, maps, c["key"], todo, t, 1 << 62, matched):
-            hit = _matching(codes, off, c["row"][x], c["row"][y], t)
-            matched[x[hit]] = True
-        return pa.table({n: c[n][matched] for n in LINE})
+        group = np.repeat(np.arange(len(bounds := group_bounds(table, ["hub", "cell"])) - 1), np.diff(bounds))
+        prefix = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
+        line = np.repeat(np.arange(len(at)), prefix)
+        pos = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+        word = words[first[line] + pos]
+        order = np.lexsort((word, group[line]))
+        line, pos, word = line[order], pos[order], word[order]
+        start = np.flatnonzero(_new(word, group[line]))
+        count = np.diff(np.append(start, len(line)))
+        use = np.repeat(count > 1, count)
+        line, pos, count = line[use], pos[use], count[count > 1]
+        name = np.repeat(np.arange(len(count)), count).astype(U64)
+        matched = np.zeros(len(at), dtype=bool)
+        ends = np.concatenate([[0], np.cumsum(count)])
+        for lo, hi in textnum.slices(ends, CHUNK):
+            part = slice(ends[lo], ends[hi])
+            row = line[part]
+            c = {
+                "word": name[part], "doc": doc[row], "hash": (at[row] >> 32).astype(np.int32).view(np.uint32), "number": at[row].astype(np.uint32), "size": size[row],
+                "pos": pos[part], "parity": parity[row], "kind": width_class(size[row]), "nth": nth[row], "row": row,
+            }
+            order = _order(c, t)
+            c = {n: v[order] for n, v in c.items()}
+            seen = matched[c["row"]]
+            for x, y, _ in candidates(c, maps, c["key"], np.flatnonzero(asked[c["row"]]), t, seen=seen):
+                x, y = c["row"][x], c["row"][y]
+                total = size[x] + size[y]
+                far = np.bitwise_count(sharp[x] ^ sharp[y]).sum(axis=1, dtype=np.int64)
+                near = np.flatnonzero(far <= total - 2 * need(total, t))
+                hit = x[near[_matching(codes, off, x[near], y[near], t)]]
+                if len(hit):
+                    matched[hit] = True
+                    seen[:] = matched[c["row"]]
+        return pa.table({"doc": doc[matched], "at": at[matched]})
 
     return grouped(["hub", "cell"], fn, schema)
 
 
-def _late_round(ws: Workspace, base: DataFrame, rarity, hard: DataFrame, hot: DataFrame, t: float, least: tuple[int, int], together: int) -> DataFrame:
-    """Lines that match any earlier line of their groups: of `hard` (word, doc, at, hub), and of the hot words' groups.
+def _met(lines: DataFrame, t: float) -> DataFrame:
+    """Lines that match an earlier line of their hub; rows are (hub, blocks, doc, at, open, words).
 
-    A line with a word of a hub meets the hub's hard lines once, whatever the
-    number of such words; a hot word is a hub of its own, cut into blocks.
+    Only open lines are compared with others; a hub of several blocks is compared block by block.
     """
-    wanted = ws.spark.sparkContext.broadcast(bit_table(hard.select("word").union(hot.select("word")), ["word"]))
-    rows = base.mapInArrow(_rescan(rarity, wanted, t, least), "word long, doc long, at long, words binary")
-    homes = hard.select("word", "hub", F.lit(0).alias("blocks")).distinct().union(
-        hot.select("word", F.xxhash64("word", F.lit("hot")).alias("hub"), F.ceil(F.col("n") / (together // 2)).cast("int").alias("blocks"))
-    )
-    lines = rows.join(homes, "word").groupBy("hub", "blocks", *LINE).agg(F.first("words").alias("words"))
-    asked = hard.select("hub", *LINE).distinct().withColumn("hard", F.lit(True))
     many = F.greatest("blocks", F.lit(1))
     cells = (
-        lines.join(asked, ["hub", *LINE], "left").withColumn("open", (F.col("blocks") > 0) | F.coalesce("hard", F.lit(False)))
-        .withColumn("mine", F.pmod(F.xxhash64(*LINE), many).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
+        lines.withColumn("mine", F.pmod(F.xxhash64(*LINE), many).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
         .withColumn("cell", F.least("mine", "other").cast("long") * F.lit(1 << 32) + F.greatest("mine", "other"))
     )
     return (
@@ -725,13 +779,26 @@ def _late_round(ws: Workspace, base: DataFrame, rarity, hard: DataFrame, hot: Da
     )
 
 
-def _families(pairs: DataFrame) -> DataFrame:
-    """(x, hub): lines that share candidates, or candidates' other lines, mostly have the same hub, so that a set travels to few of them."""
-    p = pairs.select("x", "y")
-    at_y = p.groupBy("y").agg(F.min("x").alias("hub"))
-    at_x = p.join(at_y, "y").groupBy("x").agg(F.min("hub").alias("hub"))
-    at_y = p.join(at_x, "x").groupBy("y").agg(F.min("hub").alias("hub"))
-    return p.join(at_y, "y").groupBy("x").agg(F.min("hub").alias("hub"))
+def _hot_lines(ws: Workspace, base: DataFrame, rarity, hot: DataFrame, t: float, least: tuple[int, int], together: int) -> DataFrame:
+    """The lines of the hot words' groups, for `_met`: a hot word is a hub, cut into blocks."""
+    wanted = ws.spark.sparkContext.broadcast(bit_table(hot, ["word"]))
+    rows = base.mapInArrow(_rescan(rarity, wanted, t, least), "word long, doc long, at long, words binary")
+    homes = hot.select("word", F.col("word").alias("hub"), F.ceil(F.col("n") / max(1, together // 2)).cast("int").alias("blocks"))
+    lines = rows.join(homes, "word").groupBy("hub", "blocks", *LINE).agg(F.first("words").alias("words"))
+    return lines.select("hub", "blocks", *LINE, F.lit(True).alias("open"), "words")
+
+
+def _component_lines(ws: Workspace, base: DataFrame, rarity, edges: DataFrame, asked: DataFrame, least: tuple[int, int], together: int) -> DataFrame:
+    """The lines of all components that hold a line of `asked`, for `_met`; the component is the hub."""
+    near = edges.select(*[F.col(n).alias(m) for n, m in zip(LINE, X)], *Y)
+    roots = connected_components(ws, near.select(F.xxhash64(*X).alias("a"), F.xxhash64(*Y).alias("b")), "a", "b")
+    lines = near.select(*X).union(near.select(*Y)).toDF(*LINE).distinct().withColumn("node", F.xxhash64(*LINE))
+    lines = lines.join(asked.withColumn("open", F.lit(True)), LINE, "left").join(roots, "node", "left")
+    lines = lines.select(F.coalesce("root", "node").alias("hub"), *LINE, F.coalesce("open", F.lit(False)).alias("open"))
+    homes = lines.groupBy("hub").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("any")
+    blocks = F.when(F.col("n") > together, F.ceil(F.col("n") / max(1, together // 2))).otherwise(1).cast("int")
+    members = ws.save(lines.join(homes.select("hub", blocks.alias("blocks")), "hub"), "members")
+    return members.join(_sets(base, members.select(*LINE), rarity, least), LINE)
 
 
 def text_hash(text: Column) -> Column:
@@ -758,34 +825,33 @@ def removed_lines(docs: DataFrame, *, threshold: float = 0.8, min_tokens: int =
     )
     repeated = shared.where("kind = 0").select(*LINE)
     found = shared.where("kind = 1")
-    pairs = found.select(*[F.col(n).alias(f"x_{n}") for n in LINE], *Y, "slack")
-    closest = pairs.groupBy(*X).agg(F.min(F.struct((-F.col("slack")).alias("far"), *Y)).alias("best"))
-    first = closest.select(*X, *[F.col(f"best.{n}").alias(n) for n in Y])
+    pairs = found.select(*[F.col(n).alias(f"x_{n}") for n in LINE], *Y, "slack", "more")
+    y = F.struct(*Y)
+    closest = pairs.groupBy(*X).agg(
+        F.min(F.struct((-F.col("slack")).alias("far"), *Y)).alias("best"), (F.max("more") | (F.min(y) != F.max(y))).alias("more")
+    )
+    first = closest.select(*X, *[F.col(f"best.{n}").alias(n) for n in Y], "more")
     first = ws.save(first.withColumn("hub", F.xxhash64(*Y)), "first")
-    hits = ws.save(_matched(first, _sets(base, first, rarity, least), t), "hits")
-
-    left = ws.save(found.join(hits, LINE, "left_anti").select("word", *LINE, *Y, "more", "z_doc", "z_at"), "left")
-    every = F.concat(F.array(F.struct(*Y)), F.transform(F.arrays_zip("z_doc", "z_at"), lambda z: F.struct(z["z_doc"].alias("y_doc"), z["z_at"].alias("y_at"))))
-    pairs = left.select(*[F.col(n).alias(f"x_{n}") for n in LINE], F.explode(every).alias("y")).select(*X, "y.*").distinct()
-    others = ws.save(pairs.withColumn("x", F.xxhash64(*X)).withColumn("y", F.xxhash64(*Y)), "others")
-    hub = ws.save(_families(others), "families")
-    others_by_hub = others.join(hub, "x").select("hub", *X, *Y)
-    late = ws.save(_matched(others_by_hub, _sets(base, others, rarity, least), t) if not others.isEmpty() else hits.limit(0), "late")
-
-    hard = left.where("more").select("word", *LINE).join(late, LINE, "left_anti").withColumn("x", F.xxhash64(*LINE)).join(hub, "x")
-    hard = ws.save(hard.select("word", *LINE, "hub").distinct(), "hard")
+    hits = ws.save(_matched(first, _sets(base, _lines(first), rarity, least), t), "hits")
+
+    asked = ws.save(first.where("more").select(*X).toDF(*LINE).join(hits, LINE, "left_anti"), "asked")
+    out = repeated.union(hits)
+    if not asked.isEmpty():
+        out = out.union(_met(_component_lines(ws, base, rarity, shared.where("kind in (1, 2)"), asked, least, together), t))
     hot = shared.where("kind = 3").select("word", "n")
-    out = repeated.union(hits).union(late)
-    if not (hard.isEmpty() and hot.isEmpty()):
-        out = out.union(_late_round(ws, base, rarity, hard, hot, t, least, together))
+    if not hot.isEmpty():
+        out = out.union(_met(_hot_lines(ws, base, rarity, hot, t, least, together), t))
     out = ws.save(out.distinct(), "removed")
-    ws.drop(shared, first, hits, left, others, hub, late, hard)
+    ws.drop(shared, first, hits, asked)
     return out
 
 
-def _sets(base: DataFrame, pairs: DataFrame, rarity, least: tuple[int, int]) -> DataFrame:
-    """(doc, at, words) of the lines in `pairs`, once each; the bit table only saves shuffling other lines."""
-    lines = pairs.select(*X).union(pairs.select(*Y)).toDF(*LINE)
+def _lines(pairs: DataFrame) -> DataFrame:
+    return pairs.select(*X).union(pairs.select(*Y)).toDF(*LINE)
+
+
+def _sets(base: DataFrame, lines: DataFrame, rarity, least: tuple[int, int]) -> DataFrame:
+    """(doc, at, words) of the lines, once each; the bit table only saves shuffling other lines."""
     any_line = lines.select("doc", F.col("at").bitwiseOR(F.lit(ANY)).alias("at"))
     wanted = base.sparkSession.sparkContext.broadcast(bit_table(lines.union(any_line), LINE))
     return base.mapInArrow(_sets_of(rarity, wanted, least), "doc long, at long, words binary").repartition(*LINE).dropDuplicates(LINE)

@@ -63,6 +63,25 @@ def test_many_copies_go_through_the_second_round(spark):
     assert got == brute(rows)
 
 
+def test_near_misses_send_no_row_for_each_pair(spark, monkeypatch):
+    """What the groups of words pass on follows the lines, not the pairs of lines that all resemble each other; results stay exact."""
+    rng = random.Random(8)
+    base = rng.sample(WORDS, 50)
+    rows = [(i, " ".join([*base[:43], *rng.sample(WORDS, 7)])) for i in range(160)]
+    sent = []
+    save = line_dedup.Workspace.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        sent.append(out.count() if name != "shared" else out.select("doc", "at", "y_doc", "y_at").distinct().count())
+        return out
+
+    monkeypatch.setattr(line_dedup.Workspace, "save", counted)
+    got = {r[0]: r[1] for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert max(sent) <= 5 * len(rows)
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_groups_in_blocks(spark, seed):
     """Groups above the size of one task are compared block by block."""
