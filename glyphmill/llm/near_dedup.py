@@ -270,7 +270,7 @@ def _roots(ws: Workspace, docs: DataFrame, threshold: float, shingle: int, miss:
         links.select(F.col("a").alias("hub"), "part", F.lit(0).alias("leaf"), F.col("a").alias("id")).distinct()
     )
     verified = (
-        base.join(ends, "id")
+        base.where(may_have(ends.select("id"), F.col("id"))).join(ends, "id")  # other texts aren't shuffled
         .repartition("hub", "part").sortWithinPartitions("hub", "part", "leaf", "id")
         .select("hub", "part", "leaf", "id", "text")
         .mapInArrow(_verify_worker(shingle, threshold), "a long, b long").distinct()

@@ -72,3 +72,20 @@ def test_defined_results(spark):
     assert near_dedup.drop_near_duplicates(df.where("false")).count() == 0 and near_dedup.near_duplicate_groups(df.where("false")).count() == 0
     with pytest.raises(TypeError):
         near_dedup.drop_near_duplicates(df, treshold=0.7)
+
+
+def test_only_texts_with_a_candidate_are_shuffled(spark, monkeypatch):
+    """Texts that no other resembles are left out before the exact verification."""
+    asked = []
+    may_have = near_dedup.may_have
+
+    def noted(keys, *columns):
+        asked.append({r[0] for r in keys.collect()})
+        return may_have(keys, *columns)
+
+    monkeypatch.setattr(near_dedup, "may_have", noted)
+    alone = [(i, " ".join(f"d{i}x{j}" for j in range(30))) for i in range(50)]
+    rows = [*alone, (50, alone[7][1] + " more"), (51, alone[9][1] + " words")]
+    got = {r["doc_id"]: r["group_id"] for r in near_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert asked == [{7, 9, 50, 51}]
