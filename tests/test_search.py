@@ -157,3 +157,28 @@ def test_groups_are_dealt_in_turn(spark):
 def test_settings_are_checked(wrong):
     with pytest.raises(ValueError):
         I.Settings(**wrong)
+
+
+def test_scores_of_sentences_add_up_in_the_order_of_tokens(spark):
+    """Sentences of the same tokens in another order differ in the last bit at most, and that bit decides."""
+    rng = random.Random(5)
+    words = [f"w{i}x" for i in range(12)]
+    idf = {w: 1 + rng.random() * 5 for w in words}
+    rows = [(1, 0, d, ["nothing"] + [" ".join(rng.sample(words, 9 if d % 2 else 12)) for _ in range(8)]) for d in range(200)]
+    index = I.Index(None, None, spark.createDataFrame([(w, 0, 20, x) for w, x in idf.items()], "term string, term_id long, df long, idf double"), None, I.Settings(stems=False))
+    asked = spark.createDataFrame([(1, " ".join(words))], "qid long, q string")
+    docs = spark.createDataFrame(rows, "qid long, group_id int, doc_id long, sents array<string>")
+
+    def score(sent):
+        total = 0.0
+        for t in sent.split():
+            total += idf.get(t, 0.0) * idf.get(t, 0.0) * S.verbatim_term
+        return total
+
+    got = {r["doc_id"]: r["sent_id"] for r in snippet.best_sentences(index, asked, docs).collect()}
+    assert got == {d: max(range(9), key=lambda i: (score(sents[i]), -i)) for _, _, d, sents in rows}
+
+
+def test_idf_has_the_last_bit_of_the_c_library(spark):
+    got = spark.range(11, 3000).select("id", I.idf(F.lit(20_000), "id").alias("idf")).collect()
+    assert all(r["idf"] == math.log(20_001 / (r["id"] + 1)) + 1 for r in got)
