@@ -22,6 +22,30 @@ def test_programs_as_functions_and_executables(spark):
     assert {r["word"]: r["n"] for r in mapreduce.word_count(lines, "value").collect()} == want
 
 
+def test_combined_records_travel_once_a_key_and_task(spark, monkeypatch):
+    lines = spark.createDataFrame([(f"{'ab' * (i % 7)} x\U00010348 é {i}",) for i in range(3000)] + [(None,), ("",)], "value string").coalesce(2)
+    mapper, total = lambda ls: ((w, "1") for x in ls for w in x.split(" ") if w), lambda k, vs: [str(sum(map(int, vs)))]
+    want = Counter(w for r in lines.collect() if r[0] for w in r[0].split(" ") if w)
+    records = mapreduce.map_lines(lines, mapper, combiner=total)
+    assert records.count() <= 2 * len(want) and Counter({k: n for k, n in want.items() if n > 9}).keys() >= {"x\U00010348"}
+    out = mapreduce.map_reduce(lines, mapper, lambda k, vs: [f"{k} {sum(map(int, vs))}"], 3, combiner=total)
+    assert sorted(r[0] for r in out.collect()) == sorted(f"{k} {n}" for k, n in want.items())
+    monkeypatch.setattr(mapreduce, "HELD_RECORDS", 5)
+    few = list(mapreduce.combined(((f"k{i % 9}", str(i % 2)) for i in range(40_000)), lambda k, vs: [str(sum(map(int, vs)))]))
+    assert len(few) == 9 * 4 and sum(int(v) for _, v in few) == 20_000
+
+
+def test_fnv_of_a_batch(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from glyphmill.functions import text as X
+
+    words = ["", "a", None, "10", "été", "\U00010348x", "long " * 50, "#D"]
+    rows = spark.createDataFrame([(x,) for x in words], "s string").select(X.fnv1a(F.col("s"))).collect()
+    assert X.fnv1a_batch(pa.array(words)).to_pylist() == [r[0] for r in rows] and X.fnv1a_batch(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_a_failing_program_fails_the_task(spark):
     fail = mapreduce.executable(["false"])
     with pytest.raises(Exception, match="ended with 1"):
