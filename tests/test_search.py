@@ -182,3 +182,17 @@ def test_scores_of_sentences_add_up_in_the_order_of_tokens(spark):
 def test_idf_has_the_last_bit_of_the_c_library(spark):
     got = spark.range(11, 3000).select("id", I.idf(F.lit(20_000), "id").alias("idf")).collect()
     assert all(r["idf"] == math.log(20_001 / (r["id"] + 1)) + 1 for r in got)
+
+
+def test_inverted_rows_hold_the_frequencies(spark):
+    """Also where a document comes in several rows, or has no terms; the frequencies aren't shuffled."""
+    rows = [(d, t) for d, _, t in corpus(n=60)] + [(3, "apples running apple"), (3, "the and"), (61, ""), (62, "the of and"), (-5, "apple"), (64, None)]
+    docs = I.corpus(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), S)
+    for s in (S, I.Settings(stems=False, postings_cap=7)):
+        tf, blocks = I.term_freq(docs, s), I.inverted(docs, s)
+        flat = blocks.select("group_id", "shard", "term", F.explode(F.arrays_zip("ids", "tfs")).alias("e")).select("group_id", "shard", "e.ids", "term", "e.tfs")
+        assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, tf.collect()))
+        assert sorted(map(tuple, I.inverted_df(blocks).collect())) == sorted(map(tuple, I.shard_df(tf).collect()))
+        assert sorted(map(tuple, I.merged_postings(blocks, s).collect())) == sorted(map(tuple, I.postings(tf, s).collect()))
+    once = I.inverted(docs.where("doc_id <> 3"), S)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in once and "Join" not in once
