@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from glyphmill import storage
 from glyphmill.llm.textnum import U64, mix, slices
+from glyphmill.storage import BATCH_BYTES, bound_batches
 
 
 def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
@@ -38,21 +39,6 @@ def trim() -> None:
         pass
 
 
-#: Arrow batches of whole texts hold so many bytes, unless the session sets a bound of its own.
-BATCH_BYTES = 4 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Sets the session's bound on the bytes of an Arrow batch, if it is the default of 64 MB.
-
-    Every operator of this part calls it, so what a task holds doesn't depend on
-    which of them ran before.  The setting stays: plans that are returned are run
-    later, by the caller.
-    """
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{64 << 20}b":
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 class Workspace(storage.Workspace):
     """Intermediate tables of an operator of this part."""
 

@@ -131,3 +131,20 @@ def test_a_dump_from_xml_to_json_lines(spark, tmp_path):
     P.write_records(spark.createDataFrame([("b", "1"), ("a", "2"), ("b", "3")], "key string, value string"), str(tmp_path / "r"), 2)
     assert sorted(map(tuple, P.read_records(spark, str(tmp_path / "r")).collect())) == [("a", "2"), ("b", "1"), ("b", "3")]
     assert [r[0] for r in spark.range(1).select(P.page_url_by_id(F.lit(7), "https://x.org/w/i%20")).collect()] == ["https://x.org/w/i%20?curid=7"]
+
+
+def test_cleaning_holds_few_texts_at_once(spark):
+    """A large batch costs the worker little beside the batch itself and its result."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    pages = pa.array([f"{i} [[a|b]] " + "\u4e00 word " * 2000 for i in range(1000)])
+    tracemalloc.start()
+    out = wikitext.in_pieces(lambda t: t and wikitext.clean(t, mode="index"), pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 1000 and out[7].as_py() == wikitext.clean(pages[7].as_py(), mode="index") and wikitext.in_pieces(str, pages[:0]).to_pylist() == []
+    assert peak < 16 << 20  # all texts as strings take 32 MB, and as much again for the results
+    rows = spark.createDataFrame([("[[b]]",), (None,)], "t string").select(wikitext.clean_column("t", mode="index")).collect()
+    assert [r[0] for r in rows] == ["b", None]
